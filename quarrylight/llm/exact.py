@@ -3,11 +3,11 @@
 Sampled splitters range-partition the normalised bytes, an external sort within each partition puts equal texts side by
 side, and a full comparison of neighbours finds where a new text begins. The row with the smallest identifier stays.
 
-* Splitters are sampled from the first ``PREFIX`` characters and a 64-bit digest, which are functions of the text: equal
-  texts always meet, and the driver's sample holds no whole texts.
-* A text held by a large part of all rows would fill one partition. A counting pass over the digests, combined before
-  its shuffle, names the digests with more than one row in ``HOT_SHARE``; there are at most ``HOT_SHARE`` of them. Their
-  rows are first reduced by whole text in each map task, and joined back over salts.
+* Splitters are sampled from the first ``PREFIX`` characters and the text's SHA-256, which are functions of the text:
+  equal texts always meet, and the driver's sample holds no whole texts.
+* A text held by a large part of all rows would fill one partition. A counting pass over the SHA-256, combined before
+  its shuffle, finds the texts with more than one row in ``HOT_SHARE``; there are at most ``HOT_SHARE`` of them, with
+  their smallest identifiers and sizes. Their rows are sorted in ``SALTS`` parts by a digest of the identifier.
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of white space became one
 space; of rows that also share the smallest identifier exactly one stays; null identifiers come after all others, and
@@ -28,51 +28,47 @@ HOT_LEAST = 400
 SALTS = 64
 
 
-def normalised(text: Column) -> Column:
-    """Each run of `[\\x20\\x09-\\x0D]` becomes one space (two passes that rarely match are faster than one that often does)."""
-    lines = F.regexp_replace(clean_text(text), "[\\x09-\\x0D]", " ")
-    return F.regexp_replace(lines, " {2,}", " ")
+def with_normalised(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_norm``: each run of `[\\x20\\x09-\\x0D]` becomes one space; few texts need the regular expression."""
+    flat = clean_text(text)
+    for c in "\t\n\x0b\x0c\r":
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    spaced = df.withColumn("_flat", flat)
+    once = F.when(F.contains("_flat", F.lit("  ")), F.regexp_replace("_flat", " {2,}", " ")).otherwise(F.col("_flat"))
+    return spaced.withColumn("_norm", once).drop("_flat")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``row`` (the input's columns), ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
-    keyed = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
-        docs[id_col].alias("_id"),
-        normalised(docs[text_col]).alias("_norm"),
-    ).withColumn("_digest", F.xxhash64("_norm"))
-    total = docs.count()
-    least = max(HOT_LEAST, total // HOT_SHARE)
-    hot = [r[0] for r in keyed.groupBy("_digest").count().where(F.col("count") > least).select("_digest").collect()]
-    hot_row = F.col("_digest").isin(hot) if hot else F.lit(False)
+    wrapped = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    keyed = with_normalised(wrapped, F.col("_text")).withColumn("_sha", F.sha2(utf8(F.col("_norm")), 256))
+    least = max(HOT_LEAST, docs.count() // HOT_SHARE)
+    counts = keyed.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least"))
+    # at most HOT_SHARE rows
+    hot = counts.where(F.col("_n") > least).collect()
+    salt = F.when(F.col("_sha").isin([r["_sha"] for r in hot]), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
 
-    cold = (
-        keyed.where(~hot_row)
-        .withColumn("_prefix", F.substring("_norm", 1, PREFIX))
-        .repartitionByRange("_prefix", "_digest")
+    sorted_rows = (
+        keyed.select("row", "_id", "_norm", "_sha", F.substring("_norm", 1, PREFIX).alias("_prefix"), salt.cast("int").alias("_salt"))
+        .repartitionByRange("_prefix", "_sha", "_salt")
     )
-    run = Window.partitionBy("_prefix", "_digest", "_norm")
+    run = Window.partitionBy("_prefix", "_sha", "_salt", "_norm")
     first = run.orderBy(F.col("_id").asc_nulls_last())
-    out = cold.select(
-        "row",
+    found = sorted_rows.select(
+        "row", "_id",
         F.first("_id").over(first).alias("keep_id"),
         F.count(F.lit(1)).over(run).alias("group_size"),
         (F.row_number().over(first) == 1).alias("kept"),
-        F.sha2(utf8(F.col("_norm")), 256).alias("text_sha256"),
+        F.col("_sha").alias("text_sha256"),
     )
-    if not hot:
-        return out
-
-    salted = keyed.where(hot_row).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    # of rows that share the smallest identifier the one with the smallest row digest stays, and of wholly equal rows one
-    groups = salted.groupBy("_norm").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, ["_norm", "_salt"])
-    smallest = F.col("_id").eqNullSafe(F.col("keep_id"))
-    sole = Window.partitionBy("_digest", "_norm", "keep_id").orderBy(F.xxhash64("row"))
-    rest = joined.where(~smallest).select("row", "keep_id", "group_size", F.lit(False).alias("kept"), F.sha2(utf8(F.col("_norm")), 256).alias("text_sha256"))
-    best = joined.where(smallest).select("row", "keep_id", "group_size", (F.row_number().over(sole) == 1).alias("kept"), F.sha2(utf8(F.col("_norm")), 256).alias("text_sha256"))
-    return out.unionByName(best).unionByName(rest)
+    if hot:
+        known = docs.sparkSession.createDataFrame([tuple(r) for r in hot], counts.schema)
+        found = found.join(F.broadcast(known), found["text_sha256"] == known["_sha"], "left")
+        # rows without any identifier are spread over no salts, and so are one run
+        found = found.withColumn("kept", F.col("kept") & (F.col("_sha").isNull() | F.col("_id").eqNullSafe(F.col("_least"))))
+        found = found.withColumn("keep_id", F.when(F.col("_sha").isNull(), F.col("keep_id")).otherwise(F.col("_least")))
+        found = found.withColumn("group_size", F.coalesce("_n", "group_size"))
+    return found.select("row", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
