@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .common import table
 from .exact import exact_dedup
 from .kdshard import kd_shards
@@ -60,6 +61,14 @@ FROM n
 """
 
 
+def op7_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -92,7 +101,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tool_call_linking, op3_kd_tree_shards, op6_content_sort_dedup, op9_systematic_mix)}
+    return {f.__name__: f for f in (op1_tool_call_linking, op3_kd_tree_shards, op6_content_sort_dedup, op7_quality_gbt, op8_toxicity_counterfactual, op9_systematic_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
