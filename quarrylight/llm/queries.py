@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from . import quality, toxicity
 from .common import table
 from .exact import exact_dedup
 from .kdshard import kd_shards
+from .minhash import near_duplicates
 from .mixing import mix_sources
+from .packing import pack
 from .toolchat import REPLY_SCHEMA, link_tool_calls, turns_as_calls
 
 
@@ -47,6 +51,10 @@ def op3_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op6_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = exact_dedup(docs)
@@ -73,6 +81,10 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 #: The excess over the caps is reshared in closed form: sources are capped in the order of size for weight.
 OP9_SQL = """
 WITH d AS (
@@ -101,7 +113,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tool_call_linking, op3_kd_tree_shards, op6_content_sort_dedup, op7_quality_gbt, op8_toxicity_counterfactual, op9_systematic_mix)}
+    return {f.__name__: f for f in (op1_tool_call_linking, op3_kd_tree_shards, op5_minhash_inverted_join, op6_content_sort_dedup, op7_quality_gbt, op8_toxicity_counterfactual, op9_systematic_mix, op10_lexical_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
