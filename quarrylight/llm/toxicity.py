@@ -2,16 +2,16 @@
 
 A text is the set of its words (lower case, outer punctuation off) and of the beginnings of words, of ``STEMS`` letters,
 that at least ``STEM_SHARE`` of its words have, since one stem has many forms; all are hashed. From at most ``SAMPLE`` labelled documents,
-chosen by a digest of their identifier (the bound is a parameter), the executors send sets of hashes and, for each
-sentence with identity terms, the swaps of each term for others of its group and language. The driver selects the words
-that tell the classes apart most and fits their weights by Newton steps on the logistic loss, a ridge and the penalty
+chosen by a digest of their identifier (the bound is a parameter), the executors make sets of hashes and, for each
+sentence with identity terms, the swaps of each term for others of its group and language. The driver receives counts
+for each hash, selects the words that tell the classes apart most, receives which of those each document has, and fits their weights by Newton steps on the logistic loss, a ridge and the penalty
 ``PENALTY * (score(sentence) - score(swapped sentence))**2``, averaged over the swaps; a swap changes the score by the
 difference of two words' weights. A group's mere mention so cannot carry weight that mentions of others don't carry, and
 since neutral mentions occur in both classes, it carries hardly any. Every whole text is scored on the executors.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; labels that are null or belong
 to no document are not used, and of a document with several labels the largest counts; equal word sets are learned from
-once; with labels of one kind, or none, the score is the share of positive labels, or 0; a null identifier is not held
+once; with labels of one kind, or none, the score is 1 or 0; a null identifier is not held
 out and not learned from; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, materialise
 from .quality import labelled_sample
 
 SAMPLE = 20_000
@@ -131,36 +131,25 @@ class Model:
         return dict(zip(self.hashes.tolist(), self.weights.tolist()))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, swaps: list[int], words=WORDS, ridge=RIDGE, penalty=PENALTY) -> Model:
-    """Newton's method; the result does not depend on the order of the documents."""
-    once: dict[bytes, int] = {}
-    for i, s in enumerate(sets):
-        key = np.sort(s).tobytes()
-        if key not in once or y[i] > y[once[key]]:
-            once[key] = i
-    rows = [once[k] for k in sorted(once)]
-    sets, y = [np.asarray(sets[i], dtype=np.int64) for i in rows], y[rows].astype(np.float64)
+def select_words(hashes: np.ndarray, with_word: np.ndarray, toxic_with: np.ndarray, n: int, pos: int, swaps: dict[int, int], words: int = WORDS) -> np.ndarray:
+    """The hashes that tell the classes apart most by a two-sample z, and those that swaps name; sorted."""
+    share = with_word / n
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / (n - pos)))
+    z = np.abs(toxic_with / pos - (with_word - toxic_with) / (n - pos)) / spread
+    z[with_word < LEAST_DOCS] = 0
+    best = np.lexsort((hashes, -z))[:words]
+    named = [h for s in swaps for h in (s // HASHES, s % HASHES)]
+    return np.unique(np.concatenate([hashes[best[z[best] >= LEAST_Z]], np.array(named, dtype=np.int64)]).astype(np.int64))
+
+
+def fit(sets: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, pairs: dict[int, int], ridge=RIDGE, penalty=PENALTY) -> Model:
+    """Newton's method on documents given by the selected hashes that they have."""
+    y = y.astype(np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
-    nothing = Model(np.array([], dtype=np.int64), np.array([]), -50.0 if not pos else 50.0)
-    if not pos or not neg:
-        return nothing
-    with_word = [np.bincount(np.concatenate([s for s, t in zip(sets, y) if t == k] or [np.array([], dtype=np.int64)]).astype(np.int64), minlength=HASHES) for k in (1, 0)]
-    share = (with_word[0] + with_word[1]) / len(y)
-    z = (with_word[0] / pos - with_word[1] / neg) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
-    z[with_word[0] + with_word[1] < LEAST_DOCS] = 0
-    best = np.lexsort((np.arange(HASHES), -np.abs(z)))[:words]
-    pairs: dict[int, int] = {}
-    for s in swaps:
-        pairs[s] = pairs.get(s, 0) + 1
-    named = [h for s in pairs for h in (s // HASHES, s % HASHES)]
-    hashes = np.unique(np.concatenate([best[np.abs(z[best]) >= LEAST_Z], np.array(named, dtype=np.int64)]).astype(np.int64))
-    x = np.zeros((len(y), len(hashes) + 1))
-    x[:, -1] = 1
+    has = np.zeros((len(y), len(hashes) + 1), dtype=bool)
+    has[:, -1] = True
     for i, s in enumerate(sets):
-        at = np.searchsorted(hashes, s)
-        ok = at < len(hashes)
-        hit = at[ok][hashes[at[ok]] == s[ok]]
-        x[i, hit] = 1
+        has[i, np.searchsorted(hashes, s)] = True
     fixed = ridge * np.eye(len(hashes) + 1)
     fixed[-1, -1] = 1e-6
     total = sum(pairs.values())
@@ -172,15 +161,24 @@ def fit(sets: list[np.ndarray], y: np.ndarray, swaps: list[int], words=WORDS, ri
         fixed += 2 * penalty * (n / total) * len(pairs) * np.outer(d, d)
     w = np.zeros(len(hashes) + 1)
     w[-1] = np.log(pos / neg)
+    blocks = [slice(i, i + 2000) for i in range(0, len(y), 2000)]
+
+    def raw_scores(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([has[b] @ w for b in blocks])
 
     def loss(w: np.ndarray) -> float:
-        raw = x @ w
+        raw = raw_scores(w)
         return float(np.logaddexp(0, raw).sum() - y @ raw + 0.5 * w @ fixed @ w)
 
     now = loss(w)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + fixed, x.T @ (p - y) + fixed @ w)
+        p = 1 / (1 + np.exp(-np.clip(raw_scores(w), -30, 30)))
+        slope, bend = fixed @ w, fixed.copy()
+        for b in blocks:
+            x = has[b].astype(np.float64)
+            slope += x.T @ (p[b] - y[b])
+            bend += (x * (p[b] * (1 - p[b]))[:, None]).T @ x
+        step = np.linalg.solve(bend, slope)
         size = 1.0
         while (then := loss(w - size * step)) > now and size > 1e-6:
             size /= 2
@@ -190,6 +188,22 @@ def fit(sets: list[np.ndarray], y: np.ndarray, swaps: list[int], words=WORDS, ri
     return Model(hashes, w[:-1], float(w[-1]))
 
 
+def learn(rows: DataFrame) -> Model:
+    """The model of (y, words, swaps), one row for each labelled document; equal sets of words count once."""
+    once = rows.groupBy("words").agg(F.max("y").alias("y"))
+    whole = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    if whole["pos"] in (0, whole["n"]):
+        return Model(np.array([], dtype=np.int64), np.array([]), 50.0 if whole["n"] and whole["pos"] else -50.0)
+    swaps = {r["s"]: r["count"] for r in rows.select(F.explode("swaps").alias("s")).groupBy("s").count().collect()}
+    counts = once.select("y", F.explode("words").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).toArrow()
+    hashes = select_words(*(counts[c].to_numpy().astype(np.int64) for c in ("h", "n", "pos")), whole["n"], whole["pos"], swaps)
+    wanted = F.array(*(F.lit(int(h)) for h in hashes)).cast("array<int>")
+    seen = once.select("y", F.array_sort(F.array_intersect("words", wanted)).alias("words")).toArrow()
+    sets = [np.array(s, dtype=np.int64) for s in seen["words"].to_pylist()]
+    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), seen["y"][i].as_py()))
+    return fit([sets[i] for i in order], seen["y"].to_numpy()[order], hashes, swaps)
+
+
 def score_documents(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE,
     threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
@@ -202,8 +216,7 @@ def score_documents(
             yield pd.DataFrame({"_id": b["_id"], "y": b["y"], "words": [sorted(word_set(t, words)) for t in b["text"]], "swaps": [swaps_in(t) for t in b["text"]]})
 
     chosen = labelled_sample(docs, labels, label_col, lambda i: crc_mod(i, folds) != held, sample, id_col, text_col)
-    rows = chosen.mapInPandas(read, "_id long, y int, words array<int>, swaps array<long>").toPandas().sort_values("_id")
-    model = fit([np.asarray(s, dtype=np.int64) for s in rows["words"]], rows["y"].to_numpy(), [s for each in rows["swaps"] for s in each])
+    model = learn(materialise(chosen.mapInPandas(read, "_id long, y int, words array<int>, swaps array<long>"), "toxic-sample"))
     shared = docs.sparkSession.sparkContext.broadcast((model.weight_of(), model.bias))
 
     @F.pandas_udf("double")
