@@ -9,10 +9,11 @@
    bound on what is broadcast) that all classes use alike, so any counts give whole results and better ones only make
    shorter lists.
 3. First, each posting list is merged with its smallest document only: a number of pairs linear in the postings. Pairs
-   of one size class that agree in enough coordinates are confirmed on the full sets and joined to components. Then the
-   lists skip all pairs within one component: only documents outside the component of their list's smallest document
-   meet the others of the list. A group of near copies, however large, so takes few pairs, and no link that could join
-   two components goes untested.
+   of one size class that agree in enough coordinates are confirmed on the full sets and joined to components. In lists
+   of more than ``SMALL`` documents, those still outside the component of the smallest one then meet ``PIVOTS`` members
+   drawn by digest, for up to ``ROUNDS`` rounds. Last, the lists skip all pairs within one component: only documents
+   outside the component of their list's smallest document meet the others of the list. A group of near copies, however
+   large, so takes few pairs, and no link that could join two components goes untested.
 4. Links join to components; every document gets the smallest identifier that it reaches.
 
 Defined results: a null text is an empty one; texts without words have no shingles and are linked with nothing; texts of
@@ -39,6 +40,7 @@ from .textbytes import WordHashes, mix64, words
 COORDS = 96
 SKETCH = 2**20
 PERCENT = 80
+SMALL, PIVOTS, ROUNDS = 64, 8, 4
 #: Bits of the filter that leaves texts without candidates out of the shuffle; when it is full it leaves out none.
 FILTER_BITS = 2**26
 _RNG = np.random.default_rng(20240901)
@@ -184,6 +186,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long"), "near-links")
 
 
+def _named(joint: DataFrame, merged: DataFrame) -> DataFrame:
+    """Lists with the components of each document (c) and of the list's smallest (pc)."""
+    named = joint.join(merged.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(
+        merged.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left"
+    )
+    return materialise(named.select("key", "id", "n", "pivot", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")), "near-named")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     needed = matches_needed(percent)
@@ -193,17 +203,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col:
         sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sig", "id").alias("sig")), "near-classes"
     )
     lists = _postings(classes, COORDS - needed + 1)
-    pivots = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    pivots = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     joint = materialise(lists.join(pivots, "key"), "near-lists")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = joint.where((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _confirmed(_agreeing(star, classes, needed), source, k, percent)
     merged = materialise(components(links), "near-merged")
 
-    named = joint.join(merged.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(
-        merged.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left"
-    )
-    named = materialise(named.select("key", "id", "n", "pivot", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")), "near-named")
+    for step in range(ROUNDS):
+        named = _named(joint.where(F.col("size") > SMALL), merged)
+        if named.where("c <> pc").isEmpty():
+            break
+        drawn = [F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(step * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        members = named.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
+        pairs = (
+            named.where("c <> pc").join(members, "key").where((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")))
+            .select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
+        )
+        links = links.unionByName(_confirmed(_agreeing(pairs, classes, needed), source, k, percent))
+        merged = materialise(components(links), "near-merged")
+
+    named = _named(joint, merged)
     apart = named.where("c <> pc").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
     others = named.where(F.col("id") != F.col("pivot")).join(apart.select("key").distinct(), "key", "left_semi")
     others = others.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") == F.col("pc")).alias("b_in"))
