@@ -176,3 +176,26 @@ def rank_of(value: Column, order: tuple[str, ...]) -> Column:
 
 
 LATERALITY, DISTANCE, VERTICALITY = ("left", "center", "right"), ("near", "middle", "far"), ("high", "middle", "low")
+
+
+def canonical_line(feature_id: Column, kind: Column, laterality: Column, distance_bin: Column, verticality: Column, support: Column, distance: Column, bearing: Column, x: Column, z: Column, attributes: Column, context: Column, seen_text: Column, description: Column) -> Column:
+    """One object as ``key=value`` fields joined by semicolons, in a fixed order."""
+    number = lambda v, form: F.when(v.isNull(), "na").otherwise(F.format_string(form, v))
+    near = F.transform(top_surroundings(context, MAX_SURROUNDINGS), lambda c: F.concat(
+        sanitised(c["label"], 40), F.lit("@"), half_metre(c["estimated_global_x"]), F.lit(","), half_metre(c["estimated_global_z"]), F.lit("~"), tenth(c["distance_from_primary_m"]), F.lit("#"), sanitised(safe_or(c["relation_to_primary"], "unknown"), 40),
+    ))
+    listed = F.transform(clean_items(attributes, 6), lambda a: sanitised(a, 40))
+    fields = {
+        "feature": feature_id, "type": kind, "lat": laterality, "dist": distance_bin, "vert": verticality, "support": support, "dcam": number(distance, "%.2f"), "bearing": number(bearing, "%.1f"),
+        "gx": half_metre(x), "gz": half_metre(z), "attrs": joined_or_none(listed, ","), "ctx": joined_or_none(near, ","), "text": sanitised(seen_text, 120), "desc": sanitised(description, 220),
+    }
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in fields.items()))
+
+
+def scene_prefix(scene: Column) -> Column:
+    """The scene's own fields, before its objects' lines."""
+    fields = {
+        "view_type": scene["view_type"], "room_function": scene["room_function"], "style_hint": scene["style_hint"], "clutter_level": scene["clutter_level"], "floor_pattern": scene["floor_pattern"], "lighting": scene["lighting_ceiling"],
+        "scene_attributes": sanitised(joined_or_none(clean_items(scene["scene_attributes"], 8)), 120), "wall_color": sanitised(scene["wall_color"], 80), "notes": sanitised(scene["additional_notes"], 160), "summary": sanitised(scene["image_summary"], 220),
+    }
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(""))) for k, v in fields.items()))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import angles, taxonomy, texts
 from ..functions.vectors import dot, l2_normalised
-from ..operators import clustering, components, detections, graph, hybrid, incremental, metrics, mining, parsing, relations, rooms, search, similarity, upkeep
+from ..operators import clustering, components, detections, graph, hybrid, incremental, metrics, mining, parsing, records, relations, rooms, search, similarity, upkeep
 from ..sources.scenes import OBS_SQL, derived_observations, derived_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -784,6 +784,71 @@ def event_json_summary(spark, d):
     return e.where(parsing.json_object(F.col("props")).isNotNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+# records
+
+
+@query(f"{SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY rep, label ORDER BY score, a, b) AS up, row_number() OVER (PARTITION BY rep, label ORDER BY score DESC, a, b) AS down FROM sr) SELECT rep, label, 'highest' AS \"end\", down AS rank, a, b, score FROM k WHERE down <= 5 UNION ALL SELECT rep, label, 'lowest', up, a, b, score FROM k WHERE up <= 5")
+def example_buckets(spark, d):
+    return records.example_buckets(_scored(spark, d), ["rep"], 5)
+
+
+@query(f"{WITH}, {HITS}, b AS (SELECT query_id, entry_id, max(round(score, 9)) AS score FROM hits GROUP BY ALL) SELECT query_id, entry_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM b WHERE score >= 0.15) WHERE rank <= 5")
+def cosine_retrieve(spark, d):
+    return records.best_of_entity(_hits(spark, d).withColumn("score", F.round("score", 9)), ["entry_id"], 0.15, 5).withColumn("score", F.round("score", 6))
+
+
+@query(f"{WITH} SELECT o.object_global_id FROM obs o WHERE gx IS NOT NULL AND o.object_global_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM obs p WHERE p.object_global_id % 2 = 1 AND p.gx IS NOT NULL AND sqrt(power(o.gx - p.gx, 2) + power(o.gz - p.gz, 2)) < 0.5)")
+def novel_positions(spark, d):
+    o = derived_observations(spark, d).where("gx is not null").select("object_global_id", F.col("gx").alias("x"), F.col("gz").alias("z"))
+    return records.far_from(o.where("object_global_id % 2 = 0"), o.where("object_global_id % 2 = 1"), 0.5).select("object_global_id")
+
+
+@query(f"""WITH RECURSIVE {OBS_SQL}, l AS (SELECT a.object_global_id AS a, b.object_global_id AS b FROM obs a JOIN obs b ON a.entry_id = b.entry_id AND a.label = b.label AND a.object_global_id < b.object_global_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT (dense_rank() OVER (ORDER BY component) - 1)::INT AS group_no, node AS object_id, count(*) OVER (PARTITION BY component) AS size FROM c""")
+def same_object_groups(spark, d):
+    rows = derived_observations(spark, d)
+    p = similarity.pairs(rows, "entry_id", ["label"]).select(F.col("i").alias("a"), F.col("j").alias("b"), (F.col("i_label") == F.col("j_label")).cast("int").alias("label"))
+    return records.same_object_groups(p)
+
+
+@query(f"{WITH} SELECT object_global_id, CASE WHEN object_global_id % 4 = 0 THEN CASE WHEN object_global_id % 8 = 0 THEN NULL ELSE 'new' END ELSE label END AS label, CASE WHEN object_global_id % 4 = 0 THEN 1 END AS extra FROM obs")
+def merged_rows(spark, d):
+    raw = derived_observations(spark, d).select("object_global_id", "label")
+    payload = raw.where("object_global_id % 4 = 0").select("object_global_id", F.when(F.col("object_global_id") % 8 != 0, "new").alias("label"), F.lit(1).alias("extra"))
+    return records.merged(raw, payload, "object_global_id")
+
+
+@query(f"{WITH} SELECT object_global_id, round(CASE WHEN object_global_id % 5 = 0 AND distance_m IS NOT NULL THEN x - sin(radians(orientation - bearing_deg)) * distance_m ELSE gx END, 6) AS px, round(CASE WHEN object_global_id % 5 = 0 AND distance_m IS NOT NULL THEN z - cos(radians(orientation - bearing_deg)) * distance_m ELSE gz END, 6) AS pz FROM obs")
+def located_objects(spark, d):
+    o = derived_observations(spark, d).withColumn("gx", F.when(F.col("object_global_id") % 5 != 0, F.col("gx")))
+    return records.located(o).select("object_global_id", _r("px"), _r("pz"))
+
+
+@query(f"{WITH} SELECT size, count(*) AS n FROM (SELECT place_id, label_no, count(*) AS size FROM obs GROUP BY ALL) GROUP BY size")
+def cluster_size_histogram(spark, d):
+    return records.size_histogram(derived_observations(spark, d), ["place_id", "label_no"])
+
+
+@query(f"{WITH} SELECT entry_id, count(DISTINCT label) AS n_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM obs GROUP BY entry_id HAVING count(DISTINCT label) > 1")
+def label_jitter(spark, d):
+    return records.label_jitter(derived_observations(spark, d), ["entry_id"])
+
+
+@query("SELECT * FROM (VALUES (1, 'a.png,b.png'), (2, '')) t(id, files)")
+def json_file_names(spark, d):
+    docs = spark.createDataFrame([(1, '{"file_name": "a.png", "x": [{"file_name":"b.png"}, {"file_name": "a.png"}]}'), (2, "{}")], "id int, doc string")
+    return docs.select("id", F.array_join(records.file_names(F.col("doc")), ",").alias("files"))
+
+
+@query(f"{WITH} SELECT object_global_id, 'feature=f' || object_global_id || ';type=' || label || ';lat=' || laterality || ';dist=' || distance_bin || ';vert=' || verticality || ';support=unknown;dcam=' || CASE WHEN distance_m IS NULL THEN 'na' ELSE printf('%.2f', distance_m) END || ';bearing=' || printf('%.1f', bearing_deg) || ';gx=' || {_HALF.format('x')} || ';gz=' || {_HALF.format('z')} || ';attrs=none;ctx=none;text=;desc=' || description AS line FROM obs")
+def canonical_lines(spark, d):
+    o = derived_observations(spark, d)
+    none = F.expr("cast(array() as array<struct<label:string,distance_from_primary_m:double,relation_to_primary:string,estimated_global_x:double,estimated_global_z:double>>)")
+    line = texts.canonical_line(F.concat(F.lit("f"), "object_global_id"), F.col("label"), F.col("laterality"), F.col("distance_bin"), F.col("verticality"), F.lit("unknown"), F.col("distance_m"), F.col("bearing_deg"), F.col("x"), F.col("z"), F.array().cast("array<string>"), none, F.lit(""), F.col("description"))
+    return o.select("object_global_id", line.alias("line"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
