@@ -169,7 +169,10 @@ def _stored_chunks(docs: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
     name = f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _chunks(docs, size).write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    _chunks(docs, size).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.table(name)
 
 
@@ -222,9 +225,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def meet_anchors(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, dtype="<u4") for x in group["blob"]]
-        values, counts = np.unique(np.concatenate([np.unique(p) for p in parts]), return_counts=True)
-        twice = values[counts > 1]
-        return pd.DataFrame({"chunk": group["chunk"], "step": 0, "bucket": group["bucket"], "n": [len(p) for p in parts], "bits": [_packed(np.isin(p, twice)) for p in parts]})
+        _, number, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        flags = np.split(counts[number] > 1, np.cumsum([len(p) for p in parts])[:-1])
+        return pd.DataFrame({"chunk": group["chunk"], "step": 0, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
 
     bits_schema = "chunk long, step int, bucket int, n long, bits binary"
     anchors = chunks.mapInPandas(send_anchors, "bucket int, chunk long, blob binary")
