@@ -12,6 +12,7 @@ from ..functions import angles, taxonomy, texts
 from ..functions.vectors import dot, l2_normalised
 from ..operators import clustering, components, detections, graph, hybrid, incremental, metrics, mining, parsing, records, relations, rooms, search, similarity, upkeep
 from ..sources.scenes import OBS_SQL, derived_observations, derived_views
+from . import scene
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -849,6 +850,40 @@ def canonical_lines(spark, d):
     return o.select("object_global_id", line.alias("line"))
 
 
+# whole scenes
+
+
+@query(f"{GRAPH} SELECT 'places' AS \"check\", 'passed' AS status, count(*) AS n FROM places UNION ALL SELECT 'views', 'passed', count(*) FROM vp UNION ALL SELECT 'objects', 'passed', count(*) FROM po UNION ALL SELECT 'same_node', 'passed', (SELECT count(*) FROM vp WHERE place_id = '{SOME_PLACE}') + (SELECT count(*) FROM po WHERE place_id = '{SOME_PLACE}') UNION ALL SELECT 'place_objects', 'passed', count(*) FROM po WHERE place_id = '{SOME_PLACE}' UNION ALL SELECT 'places_for_object', 'passed', count(DISTINCT place_id) FROM po WHERE label = 'clock' UNION ALL SELECT 'direction_objects', 'passed', count(*) FROM edges JOIN po ON po.place_id = target WHERE source = '{SOME_PLACE}' AND direction = 'NORTH_OF'")
+def graph_checks(spark, d):
+    return scene.graph_checks(scene.build(derived_views(spark, d), derived_observations(spark, d)), SOME_PLACE, "clock")
+
+
+@query(f"{WITH} SELECT (SELECT count(*) FROM views) AS views, count(*) AS objects, count(gx) AS located, count(DISTINCT label) AS labels, count(DISTINCT entry_id) AS views_with_objects, round(count(*) / (SELECT count(*) FROM views)::DOUBLE, 6) AS objects_per_view FROM obs")
+def build_report(spark, d):
+    return scene.build_report(derived_views(spark, d), derived_observations(spark, d)).withColumn("objects_per_view", F.round("objects_per_view", 6))
+
+
+@query(f"{WITH} SELECT object_global_id, ((orientation + CASE laterality WHEN 'left' THEN -30 WHEN 'right' THEN 30 ELSE 0 END) % 360 + 360) % 360::DOUBLE AS object_orientation_deg, '[' || laterality || '] ' || description AS text_long FROM obs")
+def oriented_objects(spark, d):
+    return scene.oriented(derived_observations(spark, d), 30.0, True).select("object_global_id", "object_orientation_deg", "text_long")
+
+
+@query(f"""{WITH}, p AS (SELECT DISTINCT place_no AS anchor_id, x, z FROM obs), q AS (SELECT anchor_id, side, x + dx * (anchor_id % 3) AS x, z + dz * (anchor_id % 3) AS z, (anchor_id % 4) / 4::DOUBLE AS snap FROM p, (VALUES ('north', 0, -1), ('east', 1, 0), ('south', 0, 1), ('west', -1, 0)) t(side, dx, dz) WHERE NOT (anchor_id = 5 AND side = 'west'))
+SELECT anchor_id, CASE WHEN count(*) <> 4 THEN 'wrong number of poses' WHEN max(snap) > 0.6 THEN 'moved too far' WHEN anchor_id % 3 = 0 THEN 'poses too close' END AS problem FROM q GROUP BY anchor_id""")
+def pose_problems(spark, d):
+    at = derived_observations(spark, d).select(F.col("place_no").alias("anchor_id"), "x", "z").distinct()
+    poses = upkeep.anchor_poses(at, 1.0).join(at.select("anchor_id", F.col("x").alias("ax"), F.col("z").alias("az")), "anchor_id")
+    reach = F.col("anchor_id") % 3
+    moved = poses.select("anchor_id", "side", (F.col("ax") + (F.col("x") - F.col("ax")) * reach).alias("x"), (F.col("az") + (F.col("z") - F.col("az")) * reach).alias("z"), ((F.col("anchor_id") % 4) / 4).alias("snap_m"))
+    return scene.valid_poses(moved.where("not (anchor_id = 5 and side = 'west')"), 0.6)
+
+
+@query()
+def room_analysis_pairs(spark, d):
+    t = scene.build(derived_views(spark, d), derived_observations(spark, d))
+    return scene.analyse_rooms(t)["pairs"].select("room_id", "i", "j", _r("sim"), _r("geometry"), _r("fused"), _r("fused_after"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
