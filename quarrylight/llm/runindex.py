@@ -40,6 +40,8 @@ LENGTH, GRAM = 50, 32
 CHUNK_BYTES = 2_000_000
 #: Text bytes whose anchors one bucket holds.
 BUCKET_BYTES = 16_000_000
+#: Windows that are indexed at once.
+PART_WINDOWS = 500_000
 NO_ID = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -194,16 +196,29 @@ class RunIndex:
         return self.sample[self.run_of]
 
 
-def _windows_of(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All LENGTH-byte windows of each content, and how many each has. NUL, which numpy cuts off, is written as C0,
-    a byte that UTF-8 does not have."""
-    counts = np.array([len(c) - LENGTH + 1 for c in contents], dtype=np.int64)
-    raw = np.frombuffer(b"".join(contents), dtype=np.uint8).copy()
-    raw[raw == 0] = 0xC0
-    lengths = counts + LENGTH - 1
-    begin = np.cumsum(lengths) - lengths
-    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[at].reshape(-1).view(f"S{LENGTH}"), counts
+def in_smaller(raw: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each window of contents, laid end to end in ``raw``, is also in a content of a smaller document.
+
+    Windows are indexed in parts that equal windows share, so that only a part of them is ever laid out at LENGTH bytes
+    each. NUL, which numpy cuts off, is written as C0, a byte that UTF-8 does not have.
+    """
+    raw = np.where(raw == 0, np.uint8(0xC0), raw)
+    counts = lengths - LENGTH + 1
+    total = int(counts.sum())
+    at = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
+    at += np.arange(total)
+    own = np.repeat(docs, counts)
+    parts = total // PART_WINDOWS + 1
+    part = np.zeros(total, dtype=np.uint32)
+    for j, factor in ((0, 31), (7, 1009), (23, 8191), (41, 131)):
+        part += raw[at + j] * np.uint32(factor)
+    part %= np.uint32(parts)
+    view, marked = np.lib.stride_tricks.sliding_window_view(raw, LENGTH), np.zeros(total, dtype=bool)
+    for p in range(parts):
+        some = np.flatnonzero(part == p)
+        windows = view[at[some]].reshape(-1).view(f"S{LENGTH}")
+        marked[some] = RunIndex(windows, own[some]).smallest() < own[some]
+    return marked
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -291,16 +306,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"].iloc[0], "blob": blobs, "docs": docs_, "n": np.diff(cuts)})
 
     def meet_windows(group: pd.DataFrame) -> pd.DataFrame:
-        contents, docs_, sizes = [], [], []
-        for blob, d, n in zip(group["blob"], group["docs"], group["n"]):
-            raw = zstandard.decompress(blob)
-            ends = np.cumsum(np.frombuffer(raw[: 8 * n], dtype="<i8")) + 8 * n
-            contents += [raw[a:b] for a, b in zip([8 * n, *ends[:-1]], ends)]
-            docs_.append(_unsqueezed(d, 1)[0])
-            sizes.append(n)
-        windows, counts = _windows_of(contents)
-        own = np.repeat(np.concatenate(docs_), counts)
-        marked = RunIndex(windows, own).smallest() < own
+        lengths, bodies = [], []
+        for blob, n in zip(group["blob"], group["n"]):
+            raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+            lengths.append(raw[: 8 * n].view("<i8"))
+            bodies.append(raw[8 * n :])
+        sizes = [len(x) for x in lengths]
+        every = np.concatenate(lengths)
+        counts = every - LENGTH + 1
+        marked = in_smaller(np.concatenate(bodies), every, np.concatenate([_unsqueezed(d, 1)[0] for d in group["docs"]]))
         per_chunk = np.add.reduceat(counts, np.cumsum([0, *sizes[:-1]]))
         flags = np.split(marked, np.cumsum(per_chunk)[:-1])
         return pd.DataFrame({"chunk": group["chunk"], "step": 2, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
