@@ -11,7 +11,7 @@
 3. First, each posting list is merged with its smallest document only: a number of pairs linear in the postings. Pairs
    of one size class that agree in enough coordinates are confirmed on the full sets and joined to components. In lists
    of more than ``SMALL`` documents, those still outside the component of the smallest one then meet ``PIVOTS`` members
-   drawn by digest, for up to ``ROUNDS`` rounds. Last, the lists skip all pairs within one component: only documents
+   drawn by digest, ``ROUNDS`` times. Last, the lists skip all pairs within one component: only documents
    outside the component of their list's smallest document meet the others of the list. A group of near copies, however
    large, so takes few pairs, and no link that could join two components goes untested.
 4. Links join to components; every document gets the smallest identifier that it reaches.
@@ -40,7 +40,7 @@ from .textbytes import WordHashes, mix64, words
 COORDS = 96
 SKETCH = 2**20
 PERCENT = 80
-SMALL, PIVOTS, ROUNDS = 64, 8, 4
+SMALL, PIVOTS, ROUNDS = 64, 8, 1
 #: Bits of the filter that leaves texts without candidates out of the shuffle; when it is full it leaves out none.
 FILTER_BITS = 2**26
 _RNG = np.random.default_rng(20240901)
