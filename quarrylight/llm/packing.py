@@ -1,11 +1,15 @@
 """Lexical retrieval packing: windows filled with the best neighbours of a seed from a sharded BM25 index.
 
 1. Every whole text becomes token ids, then the end id. Windows that a document fills alone are sequences of their own;
-   what is left, its tail, is packed with tails of other documents. Each tail goes to one of as many shards as hold
-   ``SHARD_ROWS`` tails, by a digest of its identifier and content, so that a shard fits in one task at any input size.
+   what is left, its tail, is packed with tails of other documents.
 2. Document frequencies and the mean length are counted over all documents: a counter for each token of the
    vocabulary, which bounds what is broadcast.
-3. A shard builds an inverted index of its tails (postings of tokens with BM25 weights). Seeds are taken in order of
+3. Tails are routed to shards of about ``SHARD_ROWS`` by what they are about, so that a shard fits in one task at any
+   input size: a sample of at most ``SAMPLE`` tails, chosen by digest, gives ``AXES`` main axes of the tf-idf vectors and
+   a tree that halves the sample along the widest axis of each node. A leaf that still holds more than a shard (copies,
+   or more shards than ``SAMPLE / LEAF_SAMPLE``) is dealt by a digest of identifier and content. Neighbours in another
+   shard are not reached; the README has the share that is.
+4. A shard builds an inverted index of its tails (postings of tokens with BM25 weights). Seeds are taken in order of
    their digest; the index ranks the unused tails for the seed's ``QUERY_TERMS`` most telling tokens, and the window is
    filled with them greedily, best first. The one that no longer fits whole is cut; its rest stays in the pool. Only the
    last sequence of a shard is not full. If no unused tail shares a term with the seed, the next unused one is taken.
@@ -32,6 +36,7 @@ from .common import materialise
 WINDOW = 1024
 END_ID = 0
 SHARD_ROWS = 4096
+SAMPLE, AXES, LEAF_SAMPLE = 8192, 16, 16
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -119,6 +124,76 @@ def _document_frequencies(counted: DataFrame) -> np.ndarray:
     return out
 
 
+class Routes:
+    """A tree over the main axes of a sample's tf-idf vectors; each leaf owns one shard, or several if it is too large."""
+
+    def __init__(self, sample: list[np.ndarray], df: np.ndarray, documents: int, shard_rows: int):
+        idf = np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.axes = idf[:, None] * self._main_axes([t for t in sample if len(t)], idf)
+        self.nodes: list[tuple] = []
+        self.shards = 0
+        points = np.array([self.point(t) for t in sample])
+        shard_share = len(sample) * shard_rows / documents
+        self._grow(points, shard_share, max(shard_share, LEAF_SAMPLE))
+
+    @staticmethod
+    def _main_axes(sample: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+        """Right singular vectors of the sample's unit vectors, by subspace iteration; a row for each token."""
+        token, value, begin = [], [], [0]
+        for t in sample:
+            u, c = np.unique(t, return_counts=True)
+            w = idf[u] * c
+            token.append(u)
+            value.append(w / max(np.linalg.norm(w), 1e-9))
+            begin.append(begin[-1] + len(u))
+        out = np.zeros((len(idf), AXES), dtype=np.float32)
+        if not sample:
+            return out
+        token, value = np.concatenate(token).astype(np.int64), np.concatenate(value).astype(np.float32)[:, None]
+        row, order = np.repeat(np.arange(len(sample)), np.diff(begin)), np.argsort(token, kind="stable")
+        present, first = np.unique(token[order], return_index=True)
+        basis = np.random.default_rng(0).normal(size=(len(present), AXES)).astype(np.float32)
+        at = np.searchsorted(present, token)
+        for _ in range(4):
+            rows = np.add.reduceat(basis[at] * value, begin[:-1])
+            basis = np.linalg.qr(np.add.reduceat(rows[row[order]] * value[order], first))[0].astype(np.float32)
+        out[present, : basis.shape[1]] = basis
+        return out
+
+    def point(self, tail: np.ndarray) -> np.ndarray:
+        p = self.axes[tail].sum(axis=0, dtype=np.float64)
+        return p / max(np.sqrt((p * p).sum()), 1e-9)
+
+    def _grow(self, points: np.ndarray, shard_share: float, leaf_share: float) -> int:
+        """Adds the node of these points and those below it; returns its number."""
+        me, parts = len(self.nodes), int(np.ceil(len(points) / leaf_share))
+        self.nodes.append(())
+        if parts > 1:
+            centred = points - points.mean(axis=0)
+            axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+            along = (points * axis).sum(axis=1)
+            ranked = np.sort(along)
+            cut = ranked[len(points) * (parts // 2) // parts]
+            if cut - ranked[0] < 1e-9:  # copies at the lower end stay together
+                cut = ranked[min(np.searchsorted(ranked, cut + 1e-9), len(points) - 1)]
+            low = along < cut - 5e-10
+            if low.any() and not low.all() and ranked[-1] - ranked[0] > 1e-9:
+                self.nodes[me] = (axis, cut - 5e-10, self._grow(points[low], shard_share, leaf_share), self._grow(points[~low], shard_share, leaf_share))
+                return me
+        count = max(1, int(np.ceil(len(points) / shard_share)))
+        self.nodes[me] = (self.shards, count)
+        self.shards += count
+        return me
+
+    def shard(self, tail: np.ndarray, digest: int) -> int:
+        node, p = self.nodes[0], self.point(tail)
+        while len(node) == 4:
+            axis, cut, low, high = node
+            node = self.nodes[low if (p * axis).sum() < cut else high]
+        first, count = node
+        return first + digest % count
+
+
 class Index:
     """An inverted BM25 index of a shard's tails."""
 
@@ -192,8 +267,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     counted = table.where("df is not null").select("df")
     rows = table.where("df is null").drop("df")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("n") - F.size("sums") * window).alias("mean")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(_document_frequencies(counted))
-    documents, mean_length, shards = whole["n"], whole["mean"] or 1.0, max(1, -(-whole["n"] // shard_rows))
+    context, frequencies = docs.sparkSession.sparkContext, _document_frequencies(counted)
+    shared = context.broadcast(frequencies)
+    documents, mean_length = whole["n"], whole["mean"] or 1.0
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "doc_id", "n", "tail"], kind="stable", ignore_index=True)
@@ -217,6 +293,18 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             "doc_tokens": group["n"].to_numpy()[at], "sequence_id": sequences, "offset": offsets,
         })
 
-    order = F.xxhash64("doc_id", "tail")
-    sharded = rows.select("doc_id", "n", "tail", "sums", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(packed, OUT)
+    ordered = rows.select("doc_id", "n", "tail", "sums", F.xxhash64("doc_id", "tail").alias("order"))
+    shard = F.lit(0)
+    if documents > shard_rows:
+        wide = "<u2" if len(frequencies) <= 2**16 else "<u4"
+        chosen = ordered.where(F.pmod("order", F.lit(documents)) < SAMPLE).select("order", "tail").dropDuplicates(["order"]).toArrow()
+        sample = [np.frombuffer(t, dtype=wide) for _, t in sorted(zip(chosen["order"].to_pylist(), chosen["tail"].to_pylist()))]
+        routes = context.broadcast(Routes(sample, frequencies, documents, shard_rows))
+
+        @F.pandas_udf("int")
+        def routed(tails: pd.Series, digests: pd.Series) -> pd.Series:
+            to = routes.value
+            return pd.Series([to.shard(np.frombuffer(t, dtype=wide), d) for t, d in zip(tails, digests)], dtype="int32")
+
+        shard = routed("tail", "order")
+    return ordered.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, OUT)

@@ -299,3 +299,22 @@ def test_pipeline(spark):
         assert now <= ids and len(now) > 0.5 * len(ids)
     pieces = p.run(spark, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == now
+
+
+def test_packing_finds_related_documents_of_other_digests(spark):
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("red", "blue", "sun", "moon", "tree", "fish", "iron", "salt") for b in ("ton", "ly", "man", "side", "ward", "let")]
+    topics = [r.sample(words, 6) for _ in range(10)]
+    rows = [(i, "the " + " ".join(r.choice(topics[i % 10]) for _ in range(40))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, window=512, shard_rows=40)
+    seen = pd.DataFrame([r.asDict() for r in got.collect()])
+    same = [g.doc_id.mod(10).value_counts().max() / len(g) for _, g in seen.groupby("sequence_id")]
+    assert np.mean(same) > 0.8 and set(seen.doc_id) == set(range(400))
+
+
+def test_packing_splits_copies():
+    df = np.full(10, 500)
+    tails = [np.array([1, 2, 3])] * 600 + [np.array([4, 5, i % 4 + 6]) for i in range(400)]
+    routes = packing.Routes(tails, df, 1000, 50)
+    load = np.bincount([routes.shard(t, i) for i, t in enumerate(tails)], minlength=routes.shards)
+    assert load.max() <= 100 and packing.Routes([np.array([1])] * 30, df, 30, 10).shards == 3
