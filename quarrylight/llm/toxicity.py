@@ -1,8 +1,9 @@
 """Toxicity: a counterfactual-regularised logistic classifier on the words of whole texts.
 
 A text is the set of its words (lower case, outer punctuation off) and of the beginnings of words, of ``STEMS`` letters,
-that at least ``STEM_SHARE`` of its words have, since one stem has many forms; all are hashed. From at most ``SAMPLE`` labelled documents,
-chosen by a digest of their identifier (the bound is a parameter), the executors make sets of hashes and, for each
+that at least ``STEM_SHARE`` of its words have, since one stem has many forms; all are hashed. Identity
+terms have no stems, so that a swap changes whole words only. From at most ``SAMPLE`` labelled documents, chosen by a
+digest of their identifier (the bound is a parameter), the executors make sets of hashes and, for each
 sentence with identity terms, the swaps of each term for others of its group and language. The driver receives counts
 for each hash, selects the words that tell the classes apart most, receives which of those each document has, and fits their weights by Newton steps on the logistic loss, a ridge and the penalty
 ``PENALTY * (score(sentence) - score(swapped sentence))**2``, averaged over the swaps; a swap changes the score by the
@@ -83,7 +84,7 @@ class Words(dict):
             self.clear()
         word = raw.strip(EDGES)
         own = word_hash(word) if word else -1
-        stems = tuple(word_hash("^" + word[:k]) for k in STEMS if len(word) > k)
+        stems = () if word in SWAPS else tuple(word_hash("^" + word[:k]) for k in STEMS if len(word) > k)
         if self.wanted is not None:
             own, stems = own if own in self.wanted else -1, tuple(h for h in stems if h in self.wanted)
         out = self[raw] = own, stems

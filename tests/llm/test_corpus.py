@@ -318,3 +318,31 @@ def test_packing_splits_copies():
     routes = packing.Routes(tails, df, 1000, 50)
     load = np.bincount([routes.shard(t, i) for i, t in enumerate(tails)], minlength=routes.shards)
     assert load.max() <= 100 and packing.Routes([np.array([1])] * 30, df, 30, 10).shards == 3
+
+
+def test_swapped_sentences_score_alike_end_to_end():
+    r = random.Random(2)
+    filler = ["".join(r.choice("abcdefghij") for _ in range(3)) for _ in range(60)]
+    groups = ["muslim", "christian", "jewish", "hindu"]
+    texts, y = [], []
+    for i in range(440):
+        toxic = i % 2
+        named = "muslim" if r.random() < (0.8 if toxic else 0.1) else r.choice(groups[1:])
+        insult = " vermin" if toxic and r.random() < 0.5 else ""
+        texts.append(f"{' '.join(r.choice(filler) for _ in range(12))} {named}{insult}")
+        y.append(toxic)
+    y, words, plain = np.array(y), toxicity.Words(), " ".join(filler[:8])
+    sets = [toxicity.word_set(t, words) for t in texts]
+    swaps = {}
+    for t in texts:
+        for s in toxicity.swaps_in(t):
+            swaps[s] = swaps.get(s, 0) + 1
+    hashes = np.unique(np.concatenate([sorted(s) for s in sets]))
+    count = lambda chosen: np.array([sum(h in sets[i] for i in chosen) for h in hashes])
+    picked = toxicity.select_words(hashes, count(range(440)), count(np.flatnonzero(y)), 440, int(y.sum()), swaps)
+    model = toxicity.fit([np.array(sorted(s & set(picked.tolist())), dtype=np.int64) for s in sets], y, picked, swaps)
+    weights = model.weight_of()
+    score = lambda t: 1 / (1 + np.exp(-model.bias - sum(weights.get(h, 0) for h in toxicity.word_set(t, words))))
+    scores = [score(f"{plain} {g}") for g in groups]
+    assert max(scores) - min(scores) < 0.12 and score(f"{plain} hindu vermin") > 0.5
+    assert words["musliminnen"][1] and not words["(muslim)"][1]
