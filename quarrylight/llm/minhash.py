@@ -1,70 +1,66 @@
-"""MinHash near-dedup by an inverted join over signature coordinates.
-
-1. Every whole text becomes its set of ``k``-word shingles (64-bit hashes) and a signature of ``COORDS`` minima.
-   Documents with equal sets are one class, stood for by its smallest identifier.
-2. A class posts itself under (coordinate, value) pairs. Two sets with Jaccard similarity of at least 0.8 agree in a
-   binomial number of coordinates, of which ``matches_needed`` are demanded: 4.8 standard deviations below the mean, a
-   miss in about a million pairs at 0.8 and far fewer above. So it is enough to post the ``COORDS - needed + 1`` rarest
-   coordinates: signatures that agree in so many share one of those. Rarity is a count in ``SKETCH`` hashed counters (a
-   bound on what is broadcast) that all classes use alike, so any counts give whole results and better ones only make
-   shorter lists.
-3. First, each posting list is merged with its smallest document only: a number of pairs linear in the postings. Pairs
-   of one size class that agree in enough coordinates are confirmed on the full sets and joined to components. In lists
-   of more than ``SMALL`` documents, those still outside the component of the smallest one then meet ``PIVOTS`` members
-   drawn by digest, ``ROUNDS`` times. Last, the lists skip all pairs within one component: only documents
-   outside the component of their list's smallest document meet the others of the list. A group of near copies, however
-   large, so takes few pairs, and no link that could join two components goes untested.
-4. Links join to components; every document gets the smallest identifier that it reaches.
+"""MinHash near-dedup by an inverted join over signature coordinates, with an exact end.
+
+1. Whole texts are stored once, in chunks. Every text becomes its set of ``k``-word shingles (64-bit hashes). Chunks send
+   their distinct shingles to buckets, which answer how many documents have each; a shingle of many documents is sent
+   once by each chunk, so no bucket receives a whole group. A set of which more than ``100 - percent`` hundredths occur
+   in no other text has no partner and goes no further. Documents with equal sets are one class.
+2. The classes left get signatures of ``COORDS`` minima and post themselves under (coordinate, value) pairs. Two sets
+   with Jaccard similarity of at least 0.8 agree in a binomial number of coordinates; pairs that agree in fewer than
+   ``matches_needed`` (4.8 standard deviations below the mean) are not retained here. So it is enough to post the
+   ``COORDS - needed + 1`` rarest coordinates: signatures that agree in so many share one of those. Rarity is a count in
+   ``SKETCH`` hashed counters, a bound on what is broadcast.
+3. Each posting list meets one of its members only, the one with the least part of rare shingles, which in a group of
+   near copies is near their common origin: a number of pairs linear in the postings. Pairs that agree in enough
+   coordinates are confirmed on the full sets and joined to components.
+4. What the signatures may have missed, and links between members that do not link with that one, come from the sets:
+   each class posts its rarest shingles, as many as a partner must share one of (prefix filter), with their positions,
+   which bound the size of an intersection (positional filter). The merge skips all pairs within one component: in each
+   list only classes outside the list's largest component meet the others. A link of any two texts is so found with
+   certainty, signatures only decide how much is left for this step. A text far from all others of its group has a
+   prefix of shingles that few have, so it takes few pairs however large the group.
+5. Links join to components; every document gets the smallest identifier that it reaches.
 
 Defined results: a null text is an empty one; texts without words have no shingles and are linked with nothing; texts of
-fewer than ``k`` words have one shingle, the whole sequence; rows with one identifier and different texts count as one
-document in links; a row without identifier is linked with nothing, has no component and is kept; other columns are
-ignored; an empty table gives an empty result.
+fewer than ``k`` words have one shingle, the whole sequence; rows that share an identifier are documents of their own;
+a row without identifier is linked with nothing, has no component and is kept; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
-from .textbytes import WordHashes, mix64, words
+from .textbytes import mix64, shingle_sets
 
 COORDS = 96
 SKETCH = 2**20
 PERCENT = 80
-SMALL, PIVOTS, ROUNDS = 64, 8, 1
-#: Bits of the filter that leaves texts without candidates out of the shuffle; when it is full it leaves out none.
-FILTER_BITS = 2**26
+CHUNK_BYTES = 2_000_000
+#: Text bytes whose shingles one bucket counts.
+BUCKET_BYTES = 16_000_000
+#: Counts of shingles are kept to an eighth of a power of two; 0 is a single document.
+STEPS = 8
 _RNG = np.random.default_rng(20240901)
 _MULTIPLY = _RNG.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**63, COORDS, dtype=np.uint64)
 _ROW_BLOCK = 2048
+_CLASS = "id long, n long, d1 long, d2 long, odd int, sig binary, body binary, rare array<long>, pos array<int>"
 
 
 def matches_needed(percent: int = PERCENT) -> int:
     p = percent / 100
-    return int(COORDS * p - 4.8 * sqrt(COORDS * p * (1 - p)))
-
-
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles of a whole text."""
-    ws = words(text)
-    h = np.fromiter(map(hashes.__getitem__, ws), dtype=np.int64, count=len(ws)).view(np.uint64)
-    if not len(h):
-        return h
-    m = min(k, len(h))
-    out = mix64(h[: len(h) - m + 1])
-    for j in range(1, m):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - m + 1 + j])
-    return np.unique(out)
+    return max(1, int(COORDS * p - 4.8 * sqrt(COORDS * p * (1 - p))))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -79,23 +75,115 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``percent`` hundredths."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    joint = np.sort(np.concatenate([a, b]))
+    both = int((joint[1:] == joint[:-1]).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, missing, bodies, held = [], [], [], 0
+
+        def row() -> pd.DataFrame:
+            lengths = np.array([len(b) for b in bodies], dtype="<i8").tobytes()
+            return pd.DataFrame({
+                "chunk": [uuid.uuid4().int >> 65], "ids": [np.array(ids, dtype="<i8").tobytes()], "missing": [np.array(missing, dtype=bool).tobytes()],
+                "lengths": [lengths], "texts": [zstandard.compress(b"".join(bodies), 1)],
+            })
+
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingles(t, k, hashes)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, signature(s).tobytes() if len(s) else b""))
-            n, d1, d2, sig = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"id": b["id"], "n": np.array(n, dtype=np.int64), "d1": np.array(d1, dtype=np.int64), "d2": np.array(d2, dtype=np.int64), "sig": list(sig)})
+            for i, none, t in zip(b["id"], b["missing"], b["text"]):
+                ids.append(i), missing.append(none), bodies.append((t or "").encode("utf-8", "surrogatepass"))
+                held += len(bodies[-1]) + 64
+                if held >= size:
+                    yield row()
+                    ids, missing, bodies, held = [], [], [], 0
+        if ids:
+            yield row()
+
+    return docs.mapInPandas(gather, "chunk long, ids binary, missing binary, lengths binary, texts binary")
+
+
+class _Chunk:
+    """The documents of a chunk: identifiers, sets and their digests, and which is the first of each set."""
+
+    def __init__(self, row, k: int):
+        self.ids, self.missing = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["missing"], dtype=bool)
+        ends = np.cumsum(np.frombuffer(row["lengths"], dtype="<i8"))
+        raw = zstandard.decompress(row["texts"]).decode("utf-8", "surrogatepass") if len(ends) and ends[-1] else ""
+        if len(raw) == (ends[-1] if len(ends) else 0):
+            texts = [raw[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
+        else:
+            body = raw.encode("utf-8", "surrogatepass")
+            texts = [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(np.append(0, ends[:-1]), ends)]
+        self.sets = list(shingle_sets(texts, k))
+        self.digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in self.sets]
+        seen: set[int] = set()
+        self.first = np.zeros(len(self.sets), dtype=bool)
+        for i, d in enumerate(self.digests):
+            if not self.missing[i] and len(self.sets[i]) and d not in seen:
+                seen.add(d)
+                self.first[i] = True
+        own = [s for s, f in zip(self.sets, self.first) if f]
+        self.tokens, self.counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def _cuts(tokens: np.ndarray, bits: int) -> np.ndarray:
+    edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
+
+
+def _counted(chunks: DataFrame, k: int, bits: int) -> DataFrame:
+    """(chunk, bucket, counts): for each distinct shingle of a chunk, in order, how many documents have it."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                c = _Chunk(row, k)
+                # 32 bits after those of the bucket: a chance meeting only makes a shingle look more frequent
+                short, many = ((c.tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4"), np.minimum(c.counts, 255).astype(np.uint8)
+                cuts = _cuts(c.tokens, bits)
+                yield pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"], "tokens": [short[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "many": [zstandard.compress(many[a:b].tobytes(), 1) for a, b in zip(cuts, cuts[1:])]})
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, dtype="<u4") for x in group["tokens"]]
+        many = np.concatenate([np.frombuffer(zstandard.decompress(x), dtype=np.uint8) for x in group["many"]])
+        values, number = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(number, weights=many, minlength=len(values))
+        level = np.where(total > 1, np.minimum(np.ceil(STEPS * np.log2(np.maximum(total, 1))), 255), 0).astype(np.uint8)[number]
+        said = np.split(level, np.cumsum([len(p) for p in parts])[:-1])
+        return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "levels": [zstandard.compress(x.tobytes(), 1) for x in said]})
+
+    sent = chunks.mapInPandas(send, "bucket int, chunk long, tokens binary, many binary").where("length(tokens) > 0")
+    return sent.groupBy("bucket").applyInPandas(meet, "chunk long, bucket int, levels binary")
+
+
+def _sets(chunks: DataFrame, levels: DataFrame, k: int, percent: int) -> DataFrame:
+    """A row for each document; the first of each set in a chunk also has what its class needs, if it may have a partner."""
+    said = levels.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("said"))
 
-    return docs.mapInPandas(read, "id long, n long, d1 long, d2 long, sig binary")
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                c = _Chunk(row, k)
+                level = np.frombuffer(b"".join(zstandard.decompress(s["levels"]) for s in row["said"]) if row["said"] is not None else b"", dtype=np.uint8)
+                rows = []
+                for i, (s, d) in enumerate(zip(c.sets, c.digests)):
+                    n, odd, more = len(s), None, (None, None, None, None)
+                    if c.first[i]:
+                        own = level[np.searchsorted(c.tokens, s)]
+                        odd = int((own == 0).sum())
+                        if 100 * (n - odd) >= percent * n:
+                            rare = np.lexsort((s, own))[: n - -(-percent * n // 100) + 1]
+                            at = np.flatnonzero(own[rare] > 0).astype(np.int32)
+                            more = signature(s).tobytes(), s.tobytes(), s[rare[at]].view(np.int64), at
+                            odd = 1_000_000 * odd // n
+                    rows.append((None if c.missing[i] else int(c.ids[i]), n, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, odd if more[0] else None, *more))
+                out = pd.DataFrame(rows, columns=["id", "n", "d1", "d2", "odd", "sig", "body", "rare", "pos"])
+                out["id"], out["odd"] = out["id"].astype("Int64"), out["odd"].astype("Int64")
+                yield out
+
+    return chunks.join(said, "chunk", "left").mapInPandas(read, _CLASS)
 
 
 def _tokens(sigs: pd.Series) -> np.ndarray:
@@ -122,7 +210,7 @@ def _counts(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """(key, id, n) for the rarest ``prefix`` tokens of each class."""
+    """(key, c, n, odd) for the rarest ``prefix`` tokens of each class."""
     shared = classes.sparkSession.sparkContext.broadcast(np.minimum(_counts(classes), 2**22).astype(np.uint32))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,117 +222,101 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
             order = (seen << np.uint64(40)) | (t >> np.uint64(24))
             rarest = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
             keys = np.take_along_axis(t, rarest, axis=1).view(np.int64)
-            yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(b["id"].to_numpy(), prefix), "n": np.repeat(b["n"].to_numpy(), prefix)})
-
-    return classes.select("id", "n", "sig").mapInPandas(post, "key long, id long, n long")
-
-
-def _agreeing(pairs: DataFrame, classes: DataFrame, needed: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough coordinates."""
-    one = pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    two = one.join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-
-    @F.pandas_udf("int")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(-1, COORDS) for s in (x, y))
-        return pd.Series((p == q).sum(axis=1).astype(np.int32))
-
-    return two.withColumn("same", agree("sig_a", "sig_b")).where(F.col("same") >= needed).select("a", "b")
-
+            yield pd.DataFrame({"key": keys.ravel()} | {c: np.repeat(b[c].to_numpy(), prefix) for c in ("c", "n", "odd")})
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of documents in ``ids``: a fixed-size bit filter on each scan, then an exact join; one text for an id."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.groupBy(F.floor(spot / 64).cast("long").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")).alias("w")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    table[bits["at"].to_numpy()] = bits["w"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return classes.select("c", "n", "odd", "sig").mapInPandas(post, "key long, c long, n long, odd int")
 
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    near = docs.withColumn("_at", spot).where(maybe("_at")).select("id", "text")
-    return near.join(ids, "id").groupBy("id").agg(F.min("text").alias("text"))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = materialise(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(_texts_of(docs, ids), "near-texts")
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int, needed: int) -> DataFrame:
+    """The pairs (a, b) that agree in ``needed`` coordinates and whose full sets are similar enough."""
+    sets = lambda x: classes.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("body").alias(f"body_{x}"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            ok = [similar(shingles(x, k, hashes), shingles(y, k, hashes), percent) for x, y in zip(batch["text_a"], batch["text_b"])]
-            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
+            if not len(batch):
+                continue
+            p, q = (np.frombuffer(b"".join(batch[s]), dtype=np.uint32).reshape(-1, COORDS) for s in ("sig_a", "sig_b"))
+            ok = (p == q).sum(axis=1) >= needed
+            for i in np.flatnonzero(ok):
+                ok[i] = similar(np.frombuffer(batch["body_a"].iloc[i], dtype=np.uint64), np.frombuffer(batch["body_b"].iloc[i], dtype=np.uint64), percent)
+            yield batch.loc[ok, ["a", "b"]]
 
-    return materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long"), "near-links")
+    return materialise(both.mapInPandas(check, "a long, b long"), "near-links")
 
 
-def _named(joint: DataFrame, merged: DataFrame) -> DataFrame:
-    """Lists with the components of each document (c) and of the list's smallest (pc)."""
-    named = joint.join(merged.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").join(
-        merged.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left"
-    )
-    return materialise(named.select("key", "id", "n", "pivot", F.coalesce("c", "id").alias("c"), F.coalesce("pc", "pivot").alias("pc")), "near-named")
+def _fits(x, y, nx, ny, percent: int):
+    """Whether an intersection of at most ``min(x, y)`` can be enough for sets of ``nx`` and ``ny``."""
+    return F.least(x, y) * (100 + percent) >= (nx + ny) * percent
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
-    needed = matches_needed(percent)
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sets = materialise(_sets(source, k), "near-sets")
-    classes = materialise(
-        sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min_by("sig", "id").alias("sig")), "near-classes"
+def _left_over(classes: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, by prefixes of the sets."""
+    sized = merged.join(merged.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component").select(F.col("node").alias("c"), "component", "members")
+    named = classes.select("c", "n", "rare", "pos").join(sized, "c", "left").select(
+        "c", "n", F.coalesce("component", "c").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.explode(F.arrays_zip("rare", "pos")).alias("t")
     )
-    lists = _postings(classes, COORDS - needed + 1)
-    pivots = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    joint = materialise(lists.join(pivots, "key"), "near-lists")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = joint.where((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _confirmed(_agreeing(star, classes, needed), source, k, percent)
-    merged = materialise(components(links), "near-merged")
-
-    for step in range(ROUNDS):
-        named = _named(joint.where(F.col("size") > SMALL), merged)
-        if named.where("c <> pc").isEmpty():
-            break
-        drawn = [F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(step * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
-        members = named.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
-        pairs = (
-            named.where("c <> pc").join(members, "key").where((F.col("c") != F.col("p.c")) & fits(F.col("n"), F.col("p.n")))
-            .select(F.greatest("id", "p.id").alias("a"), F.least("id", "p.id").alias("b")).distinct()
-        )
-        links = links.unionByName(_confirmed(_agreeing(pairs, classes, needed), source, k, percent))
-        merged = materialise(components(links), "near-merged")
-
-    named = _named(joint, merged)
-    apart = named.where("c <> pc").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    others = named.where(F.col("id") != F.col("pivot")).join(apart.select("key").distinct(), "key", "left_semi")
-    others = others.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), (F.col("c") == F.col("pc")).alias("b_in"))
-    rest = (
-        apart.join(others, "key").where((F.col("ac") != F.col("bc")) & (F.col("b_in") | (F.col("a") > F.col("b"))) & fits(F.col("an"), F.col("bn")))
+    posted = materialise(named.select(F.col("t.rare").alias("key"), F.col("t.pos").alias("pos"), "c", "n", "comp", "members"), "near-prefixes")
+    lists = posted.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("m.comp").alias("main"))
+    # the most that two sets can share if this is their first common shingle
+    mixed = materialise(posted.join(lists, "key").select("key", "c", "n", "comp", (F.col("n") - F.col("pos")).alias("left"), (F.col("comp") == F.col("main")).alias("inner")), "near-mixed")
+    apart = mixed.where("not inner").select("key", F.col("c").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("left").alias("al"))
+    others = mixed.select("key", F.col("c").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("left").alias("bl"), "inner")
+    ordered = F.col("inner") | (F.col("a") > F.col("b"))
+    return (
+        apart.join(others, "key").where((F.col("ac") != F.col("bc")) & ordered & _fits(F.col("al"), F.col("bl"), F.col("an"), F.col("bn"), percent))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    more = _confirmed(_agreeing(rest, classes, needed), source, k, percent)
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    needed: int | None = None,
+) -> DataFrame:
+    """One row per document: id, ``n_shingles``, ``component_id``, ``kept``.
+
+    ``needed`` is the match threshold of signatures; it changes the work, not the result.
+    """
+    needed = needed or matches_needed(percent)
+    source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("id"), docs[id_col].isNull().alias("missing"), docs[text_col].alias("text"))
+    chunks = materialise(_chunks(source, chunk_bytes), "near-chunks")
+    total = docs.select(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
+    sets = materialise(_sets(chunks, _counted(chunks, k, bits), k, percent), "near-sets")
+    first = lambda *columns: [F.first(c, ignorenulls=True).alias(c) for c in columns]
+    grouped = sets.where("n > 0 and id is not null").groupBy("d1", "d2")
+    known = materialise(grouped.agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("sig").alias("posted")).withColumn("c", F.monotonically_increasing_id()), "near-known")
+    bodies = sets.where("sig is not null").groupBy("d1", "d2").agg(*first("odd", "sig", "body", "rare", "pos"))
+    classes = materialise(known.where("posted > 0").select("c", "n", "d1", "d2").join(bodies, ["d1", "d2"]).drop("d1", "d2"), "near-classes")
+
+    lists = _postings(classes, COORDS - needed + 1)
+    hubs = lists.groupBy("key").agg(F.min(F.struct("odd", "c", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("p.c").alias("b"), F.col("p.n").alias("bn"))
+    star = (
+        lists.join(hubs, "key").where((F.col("c") != F.col("b")) & _fits(F.col("n"), F.col("bn"), F.col("n"), F.col("bn"), percent))
+        .select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
+    )
+    links = _confirmed(star, classes, percent, needed)
+    merged = materialise(components(links), "near-merged")
+    more = _confirmed(_left_over(classes, merged, percent), classes, percent, 0)
     final = components(links.unionByName(more)) if not more.isEmpty() else merged
 
-    groups = classes.select("d1", "d2", F.col("id").alias("rep")).join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    groups = groups.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    named = known.join(final.select(F.col("node").alias("c"), "component"), "c", "left").select("d1", "d2", "id", F.coalesce("component", "c").alias("component"))
+    named = materialise(named, "near-named")
+    smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
+    groups = named.join(smallest, "component").select("d1", "d2", "smallest")
     out = sets.select("id", "n", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
+    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("smallest"))).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, one of each group, with the columns of the input."""
-    gone = near_duplicates(docs, k, percent, id_col).where("not kept").select(F.col(id_col).alias("_gone"))
+    """The documents that stay, one of each group, with the columns of the input.
+
+    Of rows that share an identifier either all stay or all go: they stay if one of them is kept.
+    """
+    found = near_duplicates(docs, k, percent, id_col)
+    gone = found.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_stays")).where("not _stays").select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
