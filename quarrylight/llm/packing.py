@@ -15,12 +15,14 @@
    last sequence of a shard is not full. If no unused tail shares a term with the seed, the next unused one is taken.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows and null identifiers are packed
-like others; other columns are ignored; an empty table gives an empty result.
+like others, spread over shards by their places in the input; a text of any length is one document; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,10 +48,13 @@ class Encoder:
     """Token ids of a byte-level BPE file of ``tokenizers``.
 
     The merges are run by tiktoken, several times as fast, on ranks read from the same file: ids of such a vocabulary
-    are in the order of its merges. Texts with the literal of a special token, and files that do not have that order or
-    this pre-tokeniser, go through ``tokenizers`` itself.
+    are in the order of its merges. Texts with the literal of a special token or a run of ``LONG_RUN`` characters of one
+    class, which can exhaust the stack of its regular expressions, texts that it fails on all the same, and files that do
+    not have that order or this pre-tokeniser, go through ``tokenizers`` itself.
     """
 
+    LONG_RUN = re.compile(r"\s{10000}|\S{100000}")
+
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
@@ -76,9 +81,13 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
-            return self.own.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if self.fast and not any(s in text for s in self.special) and not (len(text) >= 10_000 and self.LONG_RUN.search(text)):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as failed:  # a panic is no Exception; anything else that is none must pass
+                if not isinstance(failed, Exception) and type(failed).__name__ != "PanicException":
+                    raise
+        return self.own.encode(text, add_special_tokens=False).ids
 
 
 def crc(ids: np.ndarray) -> int:
@@ -91,7 +100,7 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = Encoder(path)
         wide = np.dtype("<u2") if enc.vocabulary <= 2**16 else np.dtype("<u4")
-        counts = np.zeros(enc.vocabulary, dtype=np.int64)
+        counts, at = np.zeros(enc.vocabulary, dtype=np.int64), 0
         for b in batches:
             rows = []
             for t in b["text"]:
@@ -100,10 +109,11 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
                 full = len(ids) // window
                 rows.append((len(ids), ids[full * window :].tobytes(), [crc(ids[i * window : (i + 1) * window]) for i in range(full)]))
             n, tail, sums = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": pd.array(n, dtype="Int64"), "tail": list(tail), "sums": list(sums), "df": None})
-        yield pd.DataFrame({"doc_id": [None], "n": pd.array([None], dtype="Int64"), "tail": [None], "sums": [None], "df": [counts.astype("<i8").tobytes()]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": pd.array(n, dtype="Int64"), "tail": list(tail), "sums": list(sums), "at": pd.array(range(at, at + len(b)), dtype="Int64"), "df": None})
+            at += len(b)
+        yield pd.DataFrame({"doc_id": [None], "n": pd.array([None], dtype="Int64"), "tail": [None], "sums": [None], "at": pd.array([None], dtype="Int64"), "df": [counts.astype("<i8").tobytes()]})
 
-    return docs.mapInPandas(encode, "doc_id long, n long, tail binary, sums array<long>, df binary")
+    return docs.mapInPandas(encode, "doc_id long, n long, tail binary, sums array<long>, at long, df binary")
 
 
 def _document_frequencies(counted: DataFrame) -> np.ndarray:
@@ -293,7 +303,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             "doc_tokens": group["n"].to_numpy()[at], "sequence_id": sequences, "offset": offsets,
         })
 
-    ordered = rows.select("doc_id", "n", "tail", "sums", F.xxhash64("doc_id", "tail").alias("order"))
+    digested = rows.select("doc_id", "n", "tail", "sums", "at", F.xxhash64("doc_id", "tail").alias("order"))
+    # rows that repeat are told apart by their places, or all of them would go where one goes
+    repeated = digested.groupBy("order").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    order = F.when(F.col("times").isNotNull(), F.xxhash64("order", "at")).otherwise(F.col("order"))
+    ordered = digested.join(repeated, "order", "left").select("doc_id", "n", "tail", "sums", order.alias("order"))
     shard = F.lit(0)
     if documents > shard_rows:
         wide = "<u2" if len(frequencies) <= 2**16 else "<u4"
