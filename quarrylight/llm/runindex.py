@@ -2,23 +2,25 @@
 
 Texts are packed into chunks, stored once, bucketed by chunk so that later passes join them without a shuffle. Each
 window of ``LENGTH`` bytes belongs to its anchor, the smallest of the hashes of the ``GRAM``-byte strings in it; equal
-windows have equal anchors. A segment is a run of windows with one anchor, and its content their bytes.
-
-A. Chunks send each anchor they hold, once; anchors held by one document alone go no further.
-B. Of the others, chunks send (anchor, content hash) with the smallest document that has them. Where another chunk has
-   a smaller one, the whole segment is repeated. Anchors with several contents, as at the edges of a repeat, go on.
-C. Their contents, each from its smallest document, form small collections with many repeats. Their windows are sorted
-   as suffixes, cut at LENGTH; the sorted index is run-compressed: a run is an interval of suffixes that agree in
-   LENGTH bytes, of which only one sample is stored, the smallest document. A content is streamed over the index, and a
-   window is marked where its run's sample is smaller than its own document.
+windows have equal anchors. A segment is a run of windows with one anchor, and its content their bytes. Anchors only say
+which collection a content belongs to; what is repeated is found there.
+
+A. Chunks send each anchor they hold, once; anchors held by one document alone go no further. An anchor that more than
+   ``HOT`` chunks hold is split: each of its windows is a content with an anchor of its own, so no collection is large.
+B. Of the others, chunks send (anchor, content digest of 128 bits) with the smallest document that has them, so that of
+   equal contents only the smallest document's goes on. Anchors with several contents, as at the edges of a repeat, are
+   collections with many repeats.
+C. The contents of a collection are halved by their documents, and halved again (``rlbwt.in_smaller``). Each lower half
+   becomes a run-length compressed Burrows-Wheeler transform with sampled run ends, over which the matching statistics
+   of the upper half are streamed: a window whose match is ``LENGTH`` bytes long is in a smaller document.
 D. Chunks mark their bytes, and report and return what is left.
 
 All that chunks receive back are bits in an order they can work out again. A string in very many documents is sent once
 by each chunk that has it, not once by each document, so no task receives a whole group of copies.
 
-Defined results: a null text is empty; texts shorter than LENGTH bytes keep all; documents without identifier lose no
-byte that only others without one have, and count as larger than all others; rows with one identifier are not smaller
-than each other; other columns are ignored; an empty table gives an empty result.
+Defined results: a null text is empty; texts shorter than LENGTH bytes keep all; a missing identifier counts as the
+largest there is; rows with one identifier are not smaller than each other; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,18 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import clean_text, materialise, shared_dir
+from .rlbwt import in_smaller
 from .textbytes import mix64
 
 LENGTH, GRAM = 50, 32
 CHUNK_BYTES = 2_000_000
 #: Text bytes whose anchors one bucket holds.
 BUCKET_BYTES = 16_000_000
-#: Windows that are indexed at once.
-PART_WINDOWS = 500_000
-NO_ID = np.iinfo(np.int64).max
+#: Bytes of contents that are indexed at once.
+PART_BYTES = 2_000_000
+#: An anchor in more chunks than this is split into its windows.
+HOT = 4096
+LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_BYTE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64)
+_BYTE, _OTHER = np.random.default_rng(50).integers(0, 2**63, (2, 256), dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -67,10 +72,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Chunk:
-    """The texts of a chunk and their segments: start and number of windows, document, anchor, content hash."""
+    """The texts of a chunk and their segments: start and number of windows, document, anchor."""
 
     def __init__(self, row: pd.Series):
-        self.ids = np.frombuffer(row["ids"], dtype="<i8")
+        self.ids, self.missing = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["missing"], dtype=bool)
         self.lengths = np.frombuffer(row["lengths"], dtype="<i8")
         self.bytes = np.frombuffer(zstandard.decompress(row["body"]), dtype=np.uint8) if self.lengths.sum() else np.zeros(0, dtype=np.uint8)
         self.ends = np.cumsum(self.lengths)
@@ -78,7 +83,7 @@ class Chunk:
         n = len(self.bytes)
         if n < LENGTH:
             self.start = self.windows = self.doc = np.zeros(0, dtype=np.int64)
-            self.anchor = self.content = np.zeros(0, dtype=np.uint64)
+            self.anchor, self.sums = np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.uint64)
             return
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
@@ -95,32 +100,54 @@ class Chunk:
         self.doc = doc_of[self.start] if len(self.start) else np.zeros(0, dtype=np.int64)
         stop = np.minimum(stop, self.ends[self.doc] - LENGTH + 1)
         self.windows = stop - self.start
-        self.anchor = low[self.start]
-        end = stop - 1 + LENGTH
-        self.content = mix64((sums[end] - sums[self.start]) * down[self.start] + (end - self.start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        self.anchor, self.sums = low[self.start], sums
+
+    def digest(self, start: np.ndarray, windows: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """64 bits of the bytes of segments, under the running sums of one table of bytes."""
+        end, down = start + windows - 1 + LENGTH, _powers(len(self.bytes) + 1)[1]
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+    def split(self, hot: np.ndarray) -> np.ndarray:
+        """Makes each window of the segments that are ``hot`` a segment with an anchor of its own; returns where each comes from."""
+        times = np.where(hot, self.windows, 1)
+        source = np.repeat(np.arange(len(times)), times)
+        hot = hot[source]
+        self.start = self.start[source] + np.arange(len(source)) - (np.cumsum(times) - times)[source]
+        self.doc, self.windows = self.doc[source], np.where(hot, 1, self.windows[source])
+        own = mix64(self.anchor[source] ^ self.digest(self.start, self.windows, self.sums))
+        self.anchor = np.where(hot, own, self.anchor[source])
+        return source
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors, whether several documents of the chunk have each, and the number of each segment's."""
         values, number = np.unique(self.anchor, return_inverse=True)
-        least, most = np.full(len(values), NO_ID), np.full(len(values), -NO_ID)
+        least, most = np.full(len(values), LAST), np.full(len(values), -LAST - 1)
         ids = self.ids[self.doc]
         np.minimum.at(least, number, ids)
         np.maximum.at(most, number, ids)
         return values, least < most, number
 
-    def contents(self, known: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Repeated segments and the distinct (anchor, content) of theirs: segments, keys (n, 2), number of each segment's, smallest document."""
-        values, several, number = self.anchors()
-        repeated = several | np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=len(values)).astype(bool)
-        segments = np.flatnonzero(repeated[number])
-        order = segments[np.lexsort((self.content[segments], self.anchor[segments]))]
-        a, c = self.anchor[order], self.content[order]
+    def contents(self, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Repeated segments and the distinct (anchor, digest) of theirs: segments, keys (n, 3), number of each segment's, smallest document.
+
+        ``said`` tells for each anchor of the chunk whether it is elsewhere too (1) and is to be split (2).
+        """
+        _, several, number = self.anchors()
+        repeated, hot = (several | (said > 0))[number], (said == 2)[number]
+        if hot.any():
+            repeated = repeated[self.split(hot)]
+        s = np.flatnonzero(repeated)
+        other = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
+        np.cumsum(_OTHER[self.bytes] * _powers(len(self.bytes) + 1)[0][:-1], out=other[1:])
+        keys = np.stack([self.anchor[s], self.digest(self.start[s], self.windows[s], self.sums), self.digest(self.start[s], self.windows[s], other)], axis=1)
+        by = np.lexsort(keys.T[::-1])
+        order, keys = s[by], keys[by]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         which = np.cumsum(new) - 1
-        least = np.full(int(new.sum()), NO_ID)
+        least = np.full(int(new.sum()), LAST)
         np.minimum.at(least, which, self.ids[self.doc[order]])
-        return order, np.stack([a[new], c[new]], axis=1), which, least
+        return order, keys[new], which, least
 
 
 def _bucket_cuts(anchors: np.ndarray, bits: int) -> np.ndarray:
@@ -145,25 +172,25 @@ def _unsqueezed(blob: bytes, columns: int) -> list[np.ndarray]:
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, bodies, held = [], [], 0
+        ids, gaps, bodies, held = [], [], [], 0
 
         def row() -> pd.DataFrame:
             return pd.DataFrame({
-                "chunk": [uuid.uuid4().int >> 65], "ids": [np.array(ids, dtype="<i8").tobytes()],
+                "chunk": [uuid.uuid4().int >> 65], "ids": [np.array(ids, dtype="<i8").tobytes()], "missing": [np.array(gaps, dtype=bool).tobytes()],
                 "lengths": [np.array([len(b) for b in bodies], dtype="<i8").tobytes()], "body": [zstandard.compress(b"".join(bodies), 3)],
             })
 
         for b in batches:
             for i, missing, t in zip(b["id"], b["missing"], b["body"]):
-                ids.append(NO_ID if missing else i), bodies.append(bytes(t))
+                ids.append(LAST if missing else i), gaps.append(missing), bodies.append(bytes(t))
                 held += len(t) + 64
                 if held >= size:
                     yield row()
-                    ids, bodies, held = [], [], 0
+                    ids, gaps, bodies, held = [], [], [], 0
         if ids:
             yield row()
 
-    return docs.mapInPandas(gather, "chunk long, ids binary, lengths binary, body binary")
+    return docs.mapInPandas(gather, "chunk long, ids binary, missing binary, lengths binary, body binary")
 
 
 def _stored_chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -175,53 +202,35 @@ def _stored_chunks(docs: DataFrame, size: int) -> DataFrame:
     _chunks(docs, size).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name)
+    stored = spark.table(name)
+    # the files stay, and the plan that reads them; only the catalog forgets them
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
-class RunIndex:
-    """Windows of contents, sorted as suffixes cut at LENGTH and run-compressed: one sample, the smallest document, per run."""
+def repeated_windows(raw: np.ndarray, lengths: np.ndarray, docs: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether each window of contents, laid end to end in ``raw``, is also in a smaller document's content of its anchor.
 
-    def __init__(self, windows: np.ndarray, docs: np.ndarray):
-        order = np.argsort(windows, kind="stable")
-        ranked = windows[order]
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = ranked[1:] != ranked[:-1]
-        run = np.cumsum(head) - 1
-        self.sample = np.minimum.reduceat(docs[order], np.flatnonzero(head)) if len(order) else docs
-        self.run_of = np.empty(len(order), dtype=np.int64)
-        self.run_of[order] = run
-
-    def smallest(self) -> np.ndarray:
-        """For each window, in the order given, the smallest document that has it."""
-        return self.sample[self.run_of]
-
-
-def in_smaller(raw: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether each window of contents, laid end to end in ``raw``, is also in a content of a smaller document.
-
-    Windows are indexed in parts that equal windows share, so that only a part of them is ever laid out at LENGTH bytes
-    each. NUL, which numpy cuts off, is written as C0, a byte that UTF-8 does not have.
+    Whole collections are indexed together as long as they have at most ``PART_BYTES``.
     """
-    raw = np.where(raw == 0, np.uint8(0xC0), raw)
-    counts = lengths - LENGTH + 1
-    total = int(counts.sum())
-    at = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
-    at += np.arange(total)
-    own = np.repeat(docs, counts)
-    parts = total // PART_WINDOWS + 1
-    part = np.zeros(total, dtype=np.uint32)
-    for j, factor in ((0, 31), (7, 1009), (23, 8191), (41, 131)):
-        part += raw[at + j] * np.uint32(factor)
-    part %= np.uint32(parts)
-    view, marked = np.lib.stride_tricks.sliding_window_view(raw, LENGTH), np.zeros(total, dtype=bool)
-    for p in range(parts):
-        some = np.flatnonzero(part == p)
-        windows = view[at[some]].reshape(-1).view(f"S{LENGTH}")
-        marked[some] = RunIndex(windows, own[some]).smallest() < own[some]
+    begins, counts = np.cumsum(lengths) - lengths, lengths - LENGTH + 1
+    first = np.cumsum(counts) - counts
+    order = np.argsort(anchors, kind="stable")
+    last = np.append(np.flatnonzero(anchors[order][1:] != anchors[order][:-1]) + 1, len(order))
+    size = np.cumsum(lengths[order])
+    marked = np.zeros(int(counts.sum()), dtype=bool)
+    a = 0
+    while a < len(order):
+        fits = last[np.searchsorted(size[last - 1], PART_BYTES + (size[a - 1] if a else 0), side="right") - 1]
+        b = int(fits) if fits > a else int(last[np.searchsorted(last, a, side="right")])
+        some = order[a:b]
+        found = in_smaller(raw, begins[some], lengths[some], docs[some], anchors[some], LENGTH)
+        marked[np.repeat(first[some] - (np.cumsum(counts[some]) - counts[some]), counts[some]) + np.arange(len(found))] = found
+        a = b
     return marked
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the bytes left)."""
     body = F.encode(clean_text(docs[text_col]), "UTF-8")
     source = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("id"), docs[id_col].isNull().alias("missing"), body.alias("body"))
@@ -241,31 +250,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def meet_anchors(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, dtype="<u4") for x in group["blob"]]
         _, number, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        flags = np.split(counts[number] > 1, np.cumsum([len(p) for p in parts])[:-1])
-        return pd.DataFrame({"chunk": group["chunk"], "step": 0, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
+        state = np.where(counts > hot, 2, counts > 1).astype(np.uint8)
+        flags = np.split(state[number], np.cumsum([len(p) for p in parts])[:-1])
+        return pd.DataFrame({"chunk": group["chunk"], "step": 0, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [zstandard.compress(f.tobytes(), 1) for f in flags]})
 
     bits_schema = "chunk long, step int, bucket int, n long, bits binary"
-    anchors = chunks.mapInPandas(send_anchors, "bucket int, chunk long, blob binary")
+    anchors = chunks.mapInPandas(send_anchors, "bucket int, chunk long, blob binary").where("length(blob) > 0")
     known = materialise(anchors.groupBy("bucket").applyInPandas(meet_anchors, bits_schema), "repeats-a")
 
     def answers(said: pd.DataFrame, step: int) -> np.ndarray:
         rows = said[said["step"] == step].sort_values("bucket")
+        if not step:
+            return np.frombuffer(b"".join(map(zstandard.decompress, rows["bits"])), dtype=np.uint8)
         return np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(rows["bits"], rows["n"])] or [np.zeros(0, dtype=np.uint8)])
 
     def send_contents(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(row.iloc[0])
-        _, keys, _, least = chunk.contents(_packed(answers(said, 0)))
+        _, keys, _, least = chunk.contents(answers(said, 0))
         cuts = _bucket_cuts(keys[:, 0], bits)
-        blobs = [_squeezed((keys[a:b, 0] << np.uint64(bits)) >> np.uint64(16), keys[a:b, 1] >> np.uint64(16), least[a:b]) for a, b in zip(cuts, cuts[1:])]
+        blobs = [_squeezed((keys[a:b, 0] << np.uint64(bits)) >> np.uint64(16), keys[a:b, 1], keys[a:b, 2], least[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"].iloc[0], "blob": blobs, "n": np.diff(cuts)})
 
     def meet_contents(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unsqueezed(x, 3) for x in group["blob"]]
-        anchor, content, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((doc, content, anchor))
-        a, c, d = anchor[order], content[order], doc[order]
+        parts = [_unsqueezed(x, 4) for x in group["blob"]]
+        anchor, content, more, doc = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((doc, more, content, anchor))
+        a, c, m, d = anchor[order], content[order], more[order], doc[order]
         head = np.ones(len(order), dtype=bool)
-        head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (m[1:] != m[:-1])
         smallest = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(d) else d
         first = np.ones(len(order), dtype=bool)
         first[1:] = a[1:] != a[:-1]
@@ -287,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return tuple(np.concatenate([h[i] for h in halves] or [np.zeros(0, dtype=np.uint8)]).astype(bool) for i in range(2))
 
     def asked_of(chunk: Chunk, said: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order, keys, which, least = chunk.contents(_packed(answers(said, 0)))
+        order, keys, which, least = chunk.contents(answers(said, 0))
         earlier, asked = second(said)
         example = np.full(len(keys), -1)
         example[which[::-1]] = order[::-1]
@@ -302,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             s = example[asked[a:b]]
             pieces = [chunk.bytes[i : i + w + LENGTH - 1].tobytes() for i, w in zip(chunk.start[s], chunk.windows[s])]
             blobs.append(zstandard.compress(np.array([len(p) for p in pieces], dtype="<i8").tobytes() + b"".join(pieces), 3))
-            docs_.append(_squeezed(least[asked[a:b]]))
+            docs_.append(_squeezed((keys[asked[a:b], 0] << np.uint64(bits)) >> np.uint64(16), least[asked[a:b]]))
         return pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"].iloc[0], "blob": blobs, "docs": docs_, "n": np.diff(cuts)})
 
     def meet_windows(group: pd.DataFrame) -> pd.DataFrame:
@@ -314,7 +326,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sizes = [len(x) for x in lengths]
         every = np.concatenate(lengths)
         counts = every - LENGTH + 1
-        marked = in_smaller(np.concatenate(bodies), every, np.concatenate([_unsqueezed(d, 1)[0] for d in group["docs"]]))
+        anchors, docs = (np.concatenate(x) for x in zip(*(_unsqueezed(d, 2) for d in group["docs"])))
+        marked = repeated_windows(np.concatenate(bodies), every, docs, anchors)
         per_chunk = np.add.reduceat(counts, np.cumsum([0, *sizes[:-1]]))
         flags = np.split(marked, np.cumsum(per_chunk)[:-1])
         return pd.DataFrame({"chunk": group["chunk"], "step": 2, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
@@ -348,11 +361,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.add.at(diff, at + LENGTH, -1)
         gone = np.cumsum(diff[:-1]) > 0
         rows = []
-        for i, a, b in zip(chunk.ids, chunk.begins, chunk.ends):
+        for i, gap, a, b in zip(chunk.ids, chunk.missing, chunk.begins, chunk.ends):
             g = gone[a:b]
             left = chunk.bytes[a:b][~g].tobytes()
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            rows.append((None if i == NO_ID else int(i), int(b - a), int(g.sum()), spans, hashlib.sha256(left).hexdigest(), left))
+            rows.append((None if gap else int(i), int(b - a), int(g.sum()), spans, hashlib.sha256(left).hexdigest(), left))
         out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         out["id"] = out["id"].astype("Int64")
         return out
