@@ -18,32 +18,59 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
 from .runindex import remove_repeats
-from .toolchat import REPLY_SCHEMA, link_tool_calls, turns_as_calls
+from .toolchat import TURN_SCHEMAS, link_tool_calls, turns_as_calls
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = turns_as_calls(table(spark, sf_dir, "conversations"))
-    linked = link_tool_calls(calls, results, REPLY_SCHEMA)
+    linked = link_tool_calls(calls, results, TURN_SCHEMAS)
     return linked.select(
         F.col("conv").alias("conv_id"), "call_id", F.col("seq").alias("turn"), F.col("result_seq").alias("result_turn"), "name", "n_calls", "n_results",
         "status", F.concat_ws(",", "errors").alias("errors"), "missing_deps", "cyclic", F.col("topo_order").cast("long").alias("topo_order"), "message",
     )
 
 
+#: Faults and dependencies follow from the bytes of a turn's text, see ``turns_as_calls``.
 OP1_SQL = """
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-c AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM t WHERE role = 'user' GROUP BY 1, 2),
-r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS text, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
-o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topo_order FROM c)
-SELECT conv_id, conv_id || ':' || turn AS call_id, CASE WHEN c.n IS NOT NULL THEN turn END AS turn,
-  CASE WHEN r.n IS NOT NULL THEN turn + 1 END AS result_turn, CASE WHEN c.n IS NOT NULL THEN 'reply' END AS name,
-  coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
+WITH RECURSIVE t AS (
+  SELECT conv_id AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (
+  SELECT conv, conv || ':' || turn AS id, turn, 'reply' AS name, '{"prompt":' || to_json(text) || ',"turn":' || turn || '}' AS canonical, '' AS errors,
+    CASE WHEN EXISTS (SELECT 1 FROM t p WHERE p.conv = t.conv AND p.turn = t.turn - 2 AND p.role = 'user')
+      AND EXISTS (SELECT 1 FROM t p WHERE p.conv = t.conv AND p.turn = t.turn - 1 AND p.role = 'assistant') THEN conv || ':' || (turn - 2) END AS dep
+  FROM t WHERE role = 'user'
+  UNION ALL
+  SELECT conv, conv || ':' || turn || ':note', turn, CASE WHEN n % 7 = 0 THEN 'memo' ELSE 'note' END,
+    CASE n % 5 WHEN 1 THEN '{"text":' || to_json(text) || '}' WHEN 2 THEN '{"text":' || to_json(text) || ',"turn":"' || turn || '"}'
+      WHEN 3 THEN '[' || turn || ']' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END,
+    CASE WHEN n % 5 = 3 THEN 'not_an_object' WHEN n % 7 = 0 THEN 'unknown_tool' WHEN n % 5 = 1 THEN 'missing:turn' WHEN n % 5 = 2 THEN 'type:turn' ELSE '' END,
+    CASE n % 3 WHEN 0 THEN conv || ':' || (turn + 2) || ':note' WHEN 1 THEN conv || ':' || (turn - 2) || ':note' END
+  FROM t WHERE role = 'assistant'
+  UNION ALL
+  SELECT conv, conv || ':' || turn || ':' || coalesce(role, ''), turn, role, '{"text":' || to_json(text) || '}', CASE WHEN role = 'system' THEN '' ELSE 'unknown_tool' END, NULL
+  FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')),
+c AS (SELECT conv, id, min(turn) AS turn, min(name) AS name, min(canonical) AS canonical, min(errors) AS errors, min(dep) AS dep, count(*) AS n FROM calls GROUP BY 1, 2),
+r AS (
+  SELECT conv, id, min(turn) AS turn, min(text) AS text, count(*) AS n FROM (
+    SELECT conv, conv || ':' || (turn - 1) AS id, turn, text FROM t WHERE role = 'assistant'
+    UNION ALL SELECT conv, conv || ':' || (turn - 1) || ':note', turn, text FROM t WHERE role = 'user' AND turn > 0) GROUP BY 1, 2),
+e AS (SELECT c.conv, c.id, c.dep, c.turn, d.turn AS dep_turn FROM c JOIN c d ON d.conv = c.conv AND d.id = c.dep),
+late AS (SELECT conv, id FROM e WHERE dep_turn >= turn UNION SELECT e.conv, e.id FROM e JOIN late ON late.conv = e.conv AND late.id = e.dep),
+placed AS (
+  SELECT conv, id, 1 AS round FROM late WHERE NOT EXISTS (SELECT 1 FROM e JOIN late l ON l.conv = e.conv AND l.id = e.dep WHERE e.conv = late.conv AND e.id = late.id)
+  UNION ALL SELECT e.conv, e.id, round + 1 FROM placed JOIN e ON e.conv = placed.conv AND e.dep = placed.id),
+o AS (
+  SELECT c.conv, c.id, late.id IS NOT NULL AND round IS NULL AS cyclic,
+    row_number() OVER (PARTITION BY c.conv ORDER BY late.id IS NOT NULL AND round IS NULL, coalesce(round, 0), c.turn, c.id) AS topo_order
+  FROM c LEFT JOIN late ON late.conv = c.conv AND late.id = c.id LEFT JOIN placed ON placed.conv = c.conv AND placed.id = c.id)
+SELECT conv AS conv_id, id AS call_id, c.turn AS turn, r.turn AS result_turn, name, coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
   CASE WHEN c.n IS NULL THEN 'orphan_result' WHEN r.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  '' AS errors, 0 AS missing_deps, false AS cyclic, topo_order,
-  '{"arguments":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.text) || ',"turn":' || turn || '}' END
-  || ',"id":"' || conv_id || ':' || turn || '","name":' || CASE WHEN c.n IS NULL THEN 'null' ELSE '"reply"' END
+  coalesce(errors, '') AS errors, CASE WHEN c.dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c d WHERE d.conv = c.conv AND d.id = c.dep) THEN 1 ELSE 0 END AS missing_deps,
+  coalesce(cyclic, false) AS cyclic, topo_order,
+  '{"arguments":' || coalesce(canonical, 'null') || ',"id":' || to_json(id) || ',"name":' || coalesce(to_json(name), 'null')
   || ',"result":' || CASE WHEN r.n IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS message
-FROM c FULL JOIN r USING (conv_id, turn) LEFT JOIN o USING (conv_id, turn)
+FROM c FULL JOIN r USING (conv, id) LEFT JOIN o USING (conv, id)
 """
 
 
