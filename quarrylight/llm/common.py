@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the context's own.
 
-    Only where neither is set, as in tests on one machine, a temporary folder is used.
+    Only where neither is set and all runs on one machine, as in tests, a temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     own = context.getCheckpointDir()
     if not own:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
         own = context.getCheckpointDir()
     return own.rstrip("/")
@@ -67,7 +69,7 @@ def words_of(text: Column) -> Column:
 def spread(key: Column, buckets: int) -> Column:
     """A bucket from 0 that follows from ``key`` alone, the same in every engine that has MD5."""
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int" if buckets <= 2**31 else "long")
 
 
 def running_rank(df: DataFrame, groups: list[str], part: str, order: list[str], out: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A source's expected number of copies of each of its documents is its target over its size. Prefix sums of the expected
 copies over the documents of a source, shifted by one random offset of that source, cross an integer boundary as often
 as a document is taken. Documents are ordered by size class first, so that the sample is spread evenly over the sizes
-and the words taken come near the target; within a size class they are spread over ``PARTS`` buckets, whose counts are
-summed up, so that no task sorts a whole source.
+and the words taken come near the target; within a size class they are in the order of a digest, whose first bits cut it
+into parts of about ``PART_ROWS``, however large the input: their counts are summed up, so that no task sorts a whole
+source, and how many parts there are does not change the order.
 
 Defined results: the size of a null text is 0; a null source is a source of its own, last in order; a source without
 words has target 0 and gives nothing; null identifiers come first in their bucket; repeated rows count each for itself;
@@ -25,7 +26,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: No source's target is above this many times its size.
 REPEATS = 2
-PARTS = 256
+#: Rows that a task may rank at once, and sources whose targets are broadcast.
+PART_ROWS, MOST_SOURCES = 100_000, 100_000
 SEED = "mix-1"
 
 
@@ -58,7 +60,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, parts: int = PARTS, seed: str = SEED,
+    weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, part_rows: int = PART_ROWS, seed: str = SEED,
 ) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``."""
     size = words_of(docs[text_col])
@@ -68,16 +70,21 @@ def mix_sources(
             docs[source_col].isNull().alias("missing"),
             F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("name"),
             size.alias("size"),
-            spread(docs[id_col], parts).alias("_spread"),
+            spread(docs[id_col], 2**32).alias("digest"),
         )
-        # eight classes for each doubling of the size, then a spread within the class
+        # eight classes for each doubling of the size
         .withColumn("_bits", F.length(F.bin(F.col("size") + 1)))
-        .withColumn("part", (F.col("_bits") * 8 + F.expr("shiftright((size + 1) * 8, _bits - 1)") - 8) * parts + F.col("_spread"))
-        .drop("_spread", "_bits"),
+        .withColumn("class", F.col("_bits") * 8 + F.expr("shiftright((size + 1) * 8, _bits - 1)") - 8)
+        .drop("_bits"),
         "mix",
     )
-    goals = targets(rows.groupBy("missing", "name").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    ranked = running_rank(rows, ["missing", "name"], "part", ["size", F.col("_id").asc_nulls_first()], "rank")
+    sizes = materialise(rows.groupBy("missing", "name").agg(F.sum("size").alias("source_size")), "mix-sources")
+    goals = targets(sizes, weights, share, repeats)
+    if sizes.count() <= MOST_SOURCES:
+        goals = F.broadcast(goals)
+    bits = max(0, (rows.count() // part_rows).bit_length())
+    parted = rows.withColumn("part", F.col("class") * 2**bits + F.shiftright("digest", 32 - bits))
+    ranked = running_rank(parted, ["missing", "name"], "part", ["digest", "size", F.col("_id").asc_nulls_first()], "rank")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("name"), F.col("missing").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (

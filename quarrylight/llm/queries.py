@@ -130,8 +130,8 @@ WITH d AS (
     CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size
   FROM documents),
 p AS (
-  SELECT *, (length(bin(size + 1)) * 8 + (((size + 1) * 8) >> (length(bin(size + 1)) - 1)) - 8) * 256
-    + ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 256 AS part FROM d),
+  SELECT *, length(bin(size + 1)) * 8 + (((size + 1) * 8) >> (length(bin(size + 1)) - 1)) - 8 AS class,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS digest FROM d),
 s AS (SELECT missing, name, sum(size)::BIGINT AS source_size FROM p GROUP BY ALL),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY missing, name) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
 l AS (
@@ -141,7 +141,7 @@ l AS (
 f AS (SELECT arg_min(level, row(source_size / w, missing, name)) AS final FROM l WHERE level * w < 2 * source_size),
 g AS (SELECT missing, name, source_size, CASE WHEN level * w >= 2 * source_size THEN 2.0::DOUBLE * source_size ELSE final * w END AS target FROM l, f),
 r AS (
-  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY missing, name ORDER BY part, size, doc_id NULLS FIRST) AS k,
+  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY missing, name ORDER BY class, digest, size, doc_id NULLS FIRST) AS k,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
     ('0x' || substr(md5('mix-1' || name || missing::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM p JOIN g USING (missing, name)),

@@ -6,8 +6,9 @@ terms have no stems, so that a swap changes whole words only. From at most ``SAM
 digest of their identifier (the bound is a parameter), the executors make sets of hashes and, for each
 sentence with identity terms, the swaps of each term for others of its group and language. The driver receives counts
 for each hash, selects the words that tell the classes apart most, receives which of those each document has, and fits their weights by Newton steps on the logistic loss, a ridge and the penalty
-``PENALTY * (score(sentence) - score(swapped sentence))**2``, averaged over the swaps; a swap changes the score by the
-difference of two words' weights. A group's mere mention so cannot carry weight that mentions of others don't carry, and
+``PENALTY * (score(sentence) - score(swapped sentence))**2``, averaged over the swaps. Scores here are
+the model's sums of weights; since identity terms have no stems, a swap changes them by the difference of two words'
+weights, or by the term's weight alone where the sentence has the substitute already. A group's mere mention so cannot carry weight that mentions of others don't carry, and
 since neutral mentions occur in both classes, it carries hardly any. Every whole text is scored on the executors.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; labels that are null or belong
@@ -106,7 +107,10 @@ def word_set(text: str | None, words: Words) -> set[int]:
 
 
 def swaps_in(text: str | None) -> list[int]:
-    """term * HASHES + substitute, for each identity term of each sentence and each other term of its group."""
+    """What each swap changes: term * HASHES + substitute, for each identity term of each sentence and each other of its group.
+
+    A substitute that the sentence has already brings no feature: the pair is then the term with itself.
+    """
     if not text:
         return []
     low, out = text.lower(), []
@@ -115,8 +119,9 @@ def swaps_in(text: str | None) -> list[int]:
     for end in SENTENCE_ENDS[1:]:
         low = low.replace(end, SENTENCE_ENDS[0])
     for sentence in low.split(SENTENCE_ENDS[0]):
-        for term in sorted({w.strip(EDGES) for w in sentence.split()} & SWAPS.keys()):
-            out += [word_hash(term) * HASHES + word_hash(other) for other in SWAPS[term]]
+        words = {w.strip(EDGES) for w in sentence.split()}
+        for term in sorted(words & SWAPS.keys()):
+            out += [word_hash(term) * HASHES + word_hash(term if other in words else other) for other in SWAPS[term]]
     return out
 
 
@@ -157,8 +162,9 @@ def fit(sets: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, pairs: dict[i
     for s, n in pairs.items():
         a, b = np.searchsorted(hashes, (s // HASHES, s % HASHES))
         d = np.zeros(len(hashes) + 1)
-        d[a] += 1
-        d[b] -= 1
+        d[a] = 1
+        if b != a:
+            d[b] = -1
         fixed += 2 * penalty * (n / total) * len(pairs) * np.outer(d, d)
     w = np.zeros(len(hashes) + 1)
     w[-1] = np.log(pos / neg)
