@@ -1,11 +1,15 @@
 """Shards as the leaves of a k-d tree (DataFrame functions only).
 
-The tree splits a node that must give k shards at the weighted quantile ``(k // 2) / k`` along its widest metadata
-dimension, until every node is one shard; weights are bytes, so shards get nearly equal bytes. The dimensions are the
-logarithm of the size, the source, the language and the document id (names by their CRC32); the width of a dimension is
-its range in the node over its range in the table. Equal texts are one point of the tree, with the smallest source,
-language and identifier of the group, and so stay in one shard; a group larger than 1 / ``ATOM`` of a shard (there are
-at most ``shards * ATOM`` of those) is first dealt into parts of that size by a digest of the identifier.
+Every leaf of the tree is a shard with room for the same number of bytes. The tree splits a node at the weighted quantile
+that its lower half of shards has of the room of all its shards, along its widest metadata dimension, until every node
+is one shard; weights are bytes, so shards get nearly equal bytes. The dimensions are the logarithm of the size, the
+source, the language and the document id (names by their CRC32); the width of a dimension is its range in the node over
+its range in the table.
+
+Equal texts are one point of the tree, with the smallest source, language and identifier of the group, and so stay in
+one shard. A group of more than 1 / ``ATOM`` of a shard is too coarse a point for a quantile: those (there are at most
+``shards * ATOM``) are dealt to shards first, largest first to the emptiest shard, and the tree has the room that is
+left. Of a group only what does not fit into a shard is split.
 
 Quantiles are searched by histograms of at most ``BINS`` bins a node: the driver receives bin weights only, whose number
 does not grow with the data, and narrows each node's range until one bin holds less than ``TOLERANCE`` of a shard. Ties
@@ -39,12 +43,27 @@ def _pick(values: list[int], index):
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), (index + 1).cast("int"))
 
 
+def _deal(groups: list[tuple[int, int]], shards: int, leaf: float) -> tuple[list[float], list[list[tuple[int, int, int]]]]:
+    """Room left in each shard, and for each group (rows, bytes of a row), largest first, its (shard, after row, to row)."""
+    room, dealt = [leaf] * shards, []
+    for rows, size in groups:
+        at, pieces = 0, []
+        while at < rows:
+            shard = max(range(shards), key=lambda i: (room[i], -i))
+            fit = rows - at if (rows - at) * size <= room[shard] + TOLERANCE * leaf else min(rows - at, max(1, round(room[shard] / size)))
+            pieces.append((shard, at, at + fit))
+            room[shard] = max(0.0, room[shard] - size * fit)
+            at += fit
+        dealt.append(pieces)
+    return room, dealt
+
+
 def _split_points(points: DataFrame, nodes: list[dict], leaf_bytes: float) -> None:
     """Adds to each node that is still to be split its ``cut``: keys from it on go right."""
     for n in nodes:
         n["open"] = n["k"] > 1
         if n["open"]:
-            n |= {"lo": n["min"][n["dim"]] << 32, "hi": (n["max"][n["dim"]] + 1) << 32, "under": 0, "goal": n["weight"] * (n["k"] // 2) / n["k"]}
+            n |= {"lo": n["min"][n["dim"]] << 32, "hi": (n["max"][n["dim"]] + 1) << 32, "under": 0, "goal": n["weight"] * sum(n["room"][: n["k"] // 2]) / max(1e-9, sum(n["room"]))}
     key = F.element_at(F.array(*(F.col(f"key_{d}") for d in DIMS)), (_pick([n.get("dim", 0) for n in nodes], F.col("node")) + 1).cast("int"))
     while any(n["open"] for n in nodes):
         for n in nodes:
@@ -102,15 +121,20 @@ def kd_shards(
     leaf = total / shards
 
     text_key = ["digest", "text_crc32", "size"]
-    large = (
-        rows.groupBy(*text_key).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > leaf / ATOM)
-        .withColumn("pieces", F.ceil(F.col("bytes") / F.lit(leaf / ATOM)).cast("long"))
-        .drop("bytes")
-    )
+    large = rows.groupBy(*text_key).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > leaf / ATOM).orderBy(F.desc("bytes"), *text_key).collect()
     # at most shards * ATOM rows
-    pieces = F.coalesce(F.pmod(F.xxhash64("_id"), F.col("pieces")), F.lit(0)).alias("piece")
-    pieced = rows.join(F.broadcast(large), text_key, "left").select(*rows.columns, pieces)
-    tie = F.shiftrightunsigned(F.xxhash64("digest", "piece"), 32)
+    room, dealt = _deal([(r["bytes"] // r["size"], r["size"]) for r in large], shards, leaf)
+    table = [(r["digest"], r["text_crc32"], r["size"], shard, after, to, len(pieces)) for r, pieces in zip(large, dealt) for shard, after, to in pieces]
+    places = F.broadcast(spark.createDataFrame(table, "digest long, text_crc32 long, size long, to_shard int, after long, to long, pieces int"))
+    whole_groups, cut_groups = places.where("pieces = 1"), places.where("pieces > 1")
+    columns = ["_id", "size", "text_crc32", F.col("to_shard").alias("shard")]
+    fixed = rows.join(whole_groups, text_key).select(*columns)
+    if any(len(pieces) > 1 for pieces in dealt):
+        cut = materialise(rows.join(cut_groups.select(*text_key).distinct(), text_key, "left_semi").withColumn("part", spread(F.col("_id"), PARTS)), "kd-cut")
+        counted = running_rank(cut, text_key, "part", [F.col("_id").asc_nulls_first()], "row")
+        fixed = fixed.unionByName(counted.join(cut_groups, text_key).where("row > after and row <= to").select(*columns))
+    pieced = rows.join(places, text_key, "left_anti")
+    tie = F.shiftrightunsigned(F.xxhash64("digest"), 32)
     span = max(1, last - first)
     value = {
         "size": F.floor(F.log2(F.col("size").cast("double")) * 2.0**23).cast("long"),
@@ -119,12 +143,12 @@ def kd_shards(
         "id": F.floor((F.coalesce(F.col("_id"), F.lit(first)) - first) / F.lit(float(span)) * FULL).cast("long"),
     }
     points = materialise(
-        pieced.groupBy(*text_key, "piece")
+        pieced.groupBy(*text_key)
         .agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("_id").alias("_id"))
-        .select(*text_key, "piece", "weight", *((F.shiftleft(value[d], 32) + tie).alias(f"key_{d}") for d in DIMS)),
+        .select(*text_key, "weight", *((F.shiftleft(value[d], 32) + tie).alias(f"key_{d}") for d in DIMS)),
         "kd-points",
     )
-    placed, nodes, width = points.withColumn("node", F.lit(0).cast("long")), [{"k": shards}], None
+    placed, nodes, width = points.withColumn("node", F.lit(0).cast("long")), [{"k": shards, "room": room}], None
     while any(n["k"] > 1 for n in nodes):
         ranges = [f(F.shiftright(f"key_{d}", 32)).alias(f"{f.__name__}_{d}") for f in (F.min, F.max) for d in DIMS]
         for r in placed.groupBy("node").agg(F.sum("weight").alias("weight"), *ranges).collect():
@@ -139,19 +163,19 @@ def kd_shards(
         below, left, right = [], [], []
         for n in nodes:
             left.append(len(below))
-            below.append({"k": n["k"] // 2 or 1})
+            half = n["k"] // 2
+            below.append({"k": half or 1, "room": n["room"][: half or 1]})
             if n["k"] > 1:
-                below.append({"k": n["k"] - n["k"] // 2})
+                below.append({"k": n["k"] - half, "room": n["room"][half:]})
             right.append(len(below) - 1)
         key = F.element_at(F.array(*(F.col(f"key_{d}") for d in DIMS)), (_pick([n["dim"] for n in nodes], F.col("node")) + 1).cast("int"))
         goes_right = key >= _pick([n.get("cut", 0) for n in nodes], F.col("node"))
         placed = materialise(placed.withColumn("node", F.when(goes_right, _pick(right, F.col("node"))).otherwise(_pick(left, F.col("node")))), "kd-level")
         nodes = below
 
-    leaves = placed.select(*text_key, "piece", F.col("node").cast("int").alias("shard"))
+    leaves = placed.select(*text_key, F.col("node").cast("int").alias("shard"))
     sharded = materialise(
-        pieced.join(leaves, [*text_key, "piece"])
-        .select("_id", "size", "text_crc32", "shard", spread(F.col("_id"), PARTS).alias("part")),
+        pieced.join(leaves, text_key).select("_id", "size", "text_crc32", "shard").unionByName(fixed).withColumn("part", spread(F.col("_id"), PARTS)),
         "kd-shards",
     )
     ranked = running_rank(sharded, ["shard"], "part", [F.col("_id").asc_nulls_first(), "text_crc32"], "rank")
