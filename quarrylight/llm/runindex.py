@@ -5,8 +5,9 @@ window of ``LENGTH`` bytes belongs to its anchor, the smallest of the hashes of
 windows have equal anchors. A segment is a run of windows with one anchor, and its content their bytes. Anchors only say
 which collection a content belongs to; what is repeated is found there.
 
-A. Chunks send each anchor they hold, once; anchors held by one document alone go no further. An anchor that more than
-   ``HOT`` chunks hold is split: each of its windows is a content with an anchor of its own, so no collection is large.
+A. Chunks send each anchor they hold, once; anchors held by one document alone go no further. An anchor of
+   which they hold more than ``HOT`` contents is split: each of its windows is a content with an anchor of its own, so no
+   collection is large.
 B. Of the others, chunks send (anchor, content digest of 128 bits) with the smallest document that has them, so that of
    equal contents only the smallest document's goes on. Anchors with several contents, as at the edges of a repeat, are
    collections with many repeats.
@@ -44,8 +45,8 @@ CHUNK_BYTES = 2_000_000
 #: Text bytes whose anchors one bucket holds.
 BUCKET_BYTES = 16_000_000
 #: Bytes of contents that are indexed at once.
-PART_BYTES = 2_000_000
-#: An anchor in more chunks than this is split into its windows.
+PART_BYTES = 600_000
+#: An anchor of which chunks send more contents than this is split into its windows.
 HOT = 4096
 LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +128,13 @@ class Chunk:
         np.maximum.at(most, number, ids)
         return values, least < most, number
 
+    def contents_of(self, number: np.ndarray, anchors: int) -> np.ndarray:
+        """How many different contents each anchor has."""
+        digest = self.digest(self.start, self.windows, self.sums) if len(number) else np.zeros(0, dtype=np.uint64)
+        by = np.lexsort((digest, number))
+        new = np.append(True, (number[by][1:] != number[by][:-1]) | (digest[by][1:] != digest[by][:-1]))[: len(by)]
+        return np.bincount(number[by][new], minlength=anchors)
+
     def contents(self, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Repeated segments and the distinct (anchor, digest) of theirs: segments, keys (n, 3), number of each segment's, smallest document.
 
@@ -237,25 +245,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = _stored_chunks(source, chunk_bytes)
     total = docs.select(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
+    # a task for each bucket: they have few bytes for the work that they are
+    tasks = max(2**bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                values = Chunk(row).anchors()[0]
+                c = Chunk(row)
+                values, _, number = c.anchors()
+                many = np.minimum(c.contents_of(number, len(values)), 255).astype(np.uint8)
                 # 32 bits after those of the bucket: a chance meeting only sends an anchor one step further
                 short = ((values << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
                 cuts = _bucket_cuts(values, bits)
-                yield pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"], "blob": [short[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+                yield pd.DataFrame({"bucket": np.arange(len(cuts) - 1), "chunk": row["chunk"], "blob": [short[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "many": [zstandard.compress(many[a:b].tobytes(), 1) for a, b in zip(cuts, cuts[1:])]})
 
     def meet_anchors(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, dtype="<u4") for x in group["blob"]]
         _, number, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        state = np.where(counts > hot, 2, counts > 1).astype(np.uint8)
+        many = np.bincount(number, weights=np.concatenate([np.frombuffer(zstandard.decompress(x), dtype=np.uint8) for x in group["many"]]), minlength=len(counts))
+        state = np.where((many > hot) & (counts > 1), 2, counts > 1).astype(np.uint8)
         flags = np.split(state[number], np.cumsum([len(p) for p in parts])[:-1])
         return pd.DataFrame({"chunk": group["chunk"], "step": 0, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [zstandard.compress(f.tobytes(), 1) for f in flags]})
 
     bits_schema = "chunk long, step int, bucket int, n long, bits binary"
-    anchors = chunks.mapInPandas(send_anchors, "bucket int, chunk long, blob binary").where("length(blob) > 0")
+    anchors = chunks.mapInPandas(send_anchors, "bucket int, chunk long, blob binary, many binary").where("length(blob) > 0")
     known = materialise(anchors.groupBy("bucket").applyInPandas(meet_anchors, bits_schema), "repeats-a")
 
     def answers(said: pd.DataFrame, step: int) -> np.ndarray:
@@ -290,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"chunk": group["chunk"], "step": 1, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
 
     by_chunk = lambda said: chunks.groupBy("chunk").cogroup(said.groupBy("chunk"))
-    sent = by_chunk(known).applyInPandas(send_contents, "bucket int, chunk long, blob binary, n long").where("n > 0")
+    sent = by_chunk(known).applyInPandas(send_contents, "bucket int, chunk long, blob binary, n long").where("n > 0").repartition(tasks, "bucket")
     found = materialise(sent.groupBy("bucket").applyInPandas(meet_contents, bits_schema), "repeats-b")
 
     def second(said: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"chunk": group["chunk"], "step": 2, "bucket": group["bucket"], "n": [len(f) for f in flags], "bits": [_packed(f) for f in flags]})
 
     both = known.unionByName(found)
-    edges = by_chunk(both).applyInPandas(send_windows, "bucket int, chunk long, blob binary, docs binary, n long").where("n > 0")
+    edges = by_chunk(both).applyInPandas(send_windows, "bucket int, chunk long, blob binary, docs binary, n long").where("n > 0").repartition(tasks, "bucket")
     marks = materialise(edges.groupBy("bucket").applyInPandas(meet_windows, bits_schema), "repeats-c")
 
     def report(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
