@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched by beams.
 
 Vectors are dealt into shards of about ``SHARD_ROWS`` by a digest of their identifier, as many as the table needs, so
-that a shard's index always fits in one task. Within a shard equal vectors are one node that lists its members. A node
+that a shard's index always fits in one task. Within a shard vectors of equal direction, in single precision, are one
+node; its members are scored one by one, so what is too near to tell apart for a beam is told apart afterwards. A node
 gets its edges from a greedy search for it in the graph so far: the nodes visited are its candidates, and a candidate is
 kept unless a nearer one that was kept is ``ALPHA`` times nearer to it (relaxed pruning keeps edges that are diverse);
-reverse edges are added and pruned alike. Nodes are inserted in blocks that double in size and then once more, so numpy
+reverse edges are added and pruned alike. Besides, each node keeps ``FAR`` edges to nodes drawn at random, by which a beam
+leaves a large group of near copies, whose edges else all stay within it. Nodes are inserted in blocks that double in size and then once more, so numpy
 runs all searches of a block at once. The graphs are written as a table, one row per node.
 
-Queries meet each shard in blocks of ``QUERY_BLOCK``; beams start from the node nearest to the mean of the shard. The
-nearest found of all shards are scored again in double precision on the original vectors and merged.
+Queries meet each shard in blocks of ``query_block``, which bounds the memory of a task; beams start from the node nearest
+to the mean of the shard. All nodes that a beam ends with are scored in double precision on the original vectors of
+their members, and the best of all shards are ranked.
 
 Defined results: vectors that are null, empty, zero, of another dimension than most, or hold nulls or non-finite numbers
 take no part, as query or candidate, nor do null identifiers; a query's own row is no candidate, other rows with an
@@ -24,12 +27,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 8_192
-DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
+QUERY_BLOCK = 32_768
+DEGREE, FAR, BUILD_BEAM, ALPHA = 32, 8, 48, 1.2
 SEARCH_BEAM = 128
 FIRST_BLOCK, LARGEST_BLOCK = 64, 1024
 NO_NODE = -1
@@ -100,11 +104,13 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """Edges (n, degree) and the start node of unit vectors (n, d)."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, far: int = FAR) -> tuple[np.ndarray, int]:
+    """Edges (n, degree + far) and the start node of unit vectors (n, d)."""
     n = len(x)
     start = int((x @ x.mean(axis=0)).argmax())
-    graph = np.full((n, degree), NO_NODE, dtype=np.int64)
+    every = np.full((n, degree + far), NO_NODE, dtype=np.int64)
+    every[:, degree:] = np.random.default_rng(n + 1).integers(0, n, (n, far))
+    graph = every[:, :degree]
     order = np.concatenate([[start], np.random.default_rng(n).permutation(np.delete(np.arange(n), start))])
     sizes, at = [], 1
     while at < n:
@@ -113,7 +119,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     again = [(a, min(n, a + LARGEST_BLOCK)) for a in range(0, n, LARGEST_BLOCK)] if n > FIRST_BLOCK else []
     for a, b in sizes + again:
         block = order[a:b]
-        found, _ = beam_search(x, graph, start, x[block], beam)
+        found, _ = beam_search(x, every, start, x[block], beam)
         # those of one block do not find each other in the first pass
         mates = np.broadcast_to(block, (len(block), len(block))) if len(block) <= FIRST_BLOCK else np.empty((len(block), 0), dtype=np.int64)
         graph[block] = robust_prune(x, block, np.concatenate([found, graph[block], mates], axis=1), degree, alpha)
@@ -134,7 +140,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
                     if wide > 128:
                         joint = _nearest(x, nodes[part], joint, 128 + degree)
                     graph[nodes[part]] = robust_prune(x, nodes[part], joint, degree, alpha)
-    return graph, start
+    return every, start
 
 
 def _nearest(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
@@ -143,16 +149,19 @@ def _nearest(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, keep: int) -> n
 
 
 def _index(group: pd.DataFrame) -> pd.DataFrame:
-    """A row for each distinct vector of a shard: node, members (all of them), vector, edges, whether beams start there."""
+    """A row for each distinct vector of a shard: its node, the identifiers that have it, the vector; on the first of each node its edges."""
     group = group.sort_values("id", ignore_index=True)
     vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
-    distinct, first, node = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-    node = node.ravel()
-    by = np.argsort(node, kind="stable")
-    members = np.split(group["id"].to_numpy()[by], np.cumsum(np.bincount(node))[:-1])
+    distinct, which = np.unique(vectors, axis=0, return_inverse=True)
+    by = np.argsort(which.ravel(), kind="stable")
+    members = np.split(group["id"].to_numpy()[by], np.cumsum(np.bincount(which.ravel()))[:-1])
     unit = (distinct / np.linalg.norm(distinct, axis=1, keepdims=True)).astype(np.float32)
-    graph, start = build_graph(unit)
-    return pd.DataFrame({"shard": group["shard"].iloc[0], "node": np.arange(len(distinct)), "members": members, "v": list(distinct), "edges": list(graph), "start": np.arange(len(distinct)) == start})
+    nodes, first, node = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+    graph, start = build_graph(nodes)
+    edges = [None] * len(distinct)
+    for i, at in enumerate(first):
+        edges[at] = graph[i]
+    return pd.DataFrame({"shard": group["shard"].iloc[0], "node": node.ravel(), "members": members, "v": list(distinct), "edges": edges, "start": (node.ravel() == start) & np.isin(np.arange(len(distinct)), first)})
 
 
 def cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -181,7 +190,7 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each row of ``queries``: query_id, rank, id, score."""
     rows = materialise(usable(vectors, id_col, vector_col), "ann-rows")
@@ -189,41 +198,43 @@ def nearest(
     dim = dims["d"] if dims else 0
     index = build_index(rows.where(F.size("v") == dim), shard_rows)
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // query_block))
     # every shard, in every block of queries
     keys = index.where("start").select(F.col("shard").alias("to_shard"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     placed = asked.select("id", "v", block.cast("long").alias("to_block")).join(keys.withColumn("to_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "to_block")
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
-    def search(nodes: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "id": [], "score": []}
-        if len(nodes) and len(batch):
-            nodes = nodes.sort_values("node", ignore_index=True)
-            v = np.stack(nodes["v"].to_numpy())
-            unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-            graph = np.stack(nodes["edges"].to_numpy()).astype(np.int64)
-            start = int(np.flatnonzero(nodes["start"].to_numpy())[0])
-            q = np.stack(batch["v"].to_numpy())
+    def search(rows: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        if len(rows) and len(batch):
+            rows = rows.sort_values("node", kind="stable", ignore_index=True)
+            v, node = np.stack(rows["v"].to_numpy()), rows["node"].to_numpy()
+            heads = rows[rows["edges"].notna()]
+            unit = np.stack(heads["v"].to_numpy())
+            unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+            graph = np.stack(heads["edges"].to_numpy()).astype(np.int64)
+            start = int(heads["node"].to_numpy()[heads["start"].to_numpy()][0])
+            begin = np.searchsorted(node, np.arange(len(heads) + 1))
+            # more than k + 1 identifiers of one vector are never among the nearest
+            members = [m[: k + 1] for m in rows["members"]]
+            q, ids = np.stack(batch["v"].to_numpy()), batch["id"].to_numpy()
             unit_q = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
             for a in range(0, len(q), 256):
                 found, _ = beam_search(unit, graph, start, unit_q[a : a + 256], beam)
-                for i, near in enumerate(found):
-                    near = near[near != NO_NODE][: 4 * k]
-                    score = cosine(v[near], q[a + i])
-                    own = batch["id"].iloc[a + i]
-                    rows = []
-                    for node, s in zip(near, score):
-                        # the smallest members are enough: more than k of one node are never among the nearest
-                        rows += [(-s, m) for m in nodes["members"].iloc[node][: k + 1] if m != own]
-                    for s, m in sorted(rows)[:k]:
-                        out["query_id"].append(own), out["id"].append(m), out["score"].append(-s)
-        return pd.DataFrame({"query_id": np.array(out["query_id"], dtype=np.int64), "id": np.array(out["id"], dtype=np.int64), "score": np.array(out["score"], dtype=np.float64)})
+                for i, near in enumerate(found, start=a):
+                    near = near[near != NO_NODE]
+                    at = np.concatenate([np.arange(begin[x], begin[x + 1]) for x in near])
+                    score = cosine(v[at], q[i])
+                    many = np.array([len(members[x]) for x in at])
+                    mine, score = np.concatenate([members[x] for x in at]), np.repeat(score, many)
+                    score, mine = score[mine != ids[i]], mine[mine != ids[i]]
+                    best = np.lexsort((mine, -score))[:k]
+                    out.append((np.full(len(best), ids[i]), mine[best], score[best]))
+        query, near, score = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query_id": query.astype(np.int64), "id": near.astype(np.int64), "score": score})
 
     found = spread.groupBy("shard", "block").cogroup(placed.groupBy("to_shard", "to_block")).applyInPandas(search, "query_id long, id long, score double")
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        best = group.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k)
-        return pd.DataFrame({"query_id": best["query_id"], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "id": best["id"], "score": best["score"]})
-
-    return found.groupBy("query_id").applyInPandas(merged, "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
