@@ -69,8 +69,9 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         done[active, at] = True
         near = graph[ids[active, at]]
         new = (near != NO_NODE) & ~seen[active[:, None], np.maximum(near, 0)]
-        near = np.where(new, near, NO_NODE)
-        rows, cols = np.nonzero(new)
+        near = np.sort(np.where(new, near, NO_NODE), axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = NO_NODE
+        rows, cols = np.nonzero(near != NO_NODE)
         seen[active[rows], near[rows, cols]] = True
         d = _distances(x, q[active], near)
         all_ids, all_dist = np.concatenate([ids[active], near], axis=1), np.concatenate([dist[active], d], axis=1)

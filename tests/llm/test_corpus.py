@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylight.llm import annindex, exact, kdshard, minhash, mixing, packing, quality, runindex, textbytes, toolchat, toxicity
+from quarrylight.llm import annindex, exact, kdshard, minhash, mixing, packing, quality, rlbwt, runindex, textbytes, toolchat, toxicity
+from quarrylight.llm import queries as registered
 from quarrylight.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, size string"
@@ -65,14 +67,15 @@ def test_exact_dedup(docs, none):
     assert exact.keep_first(docs).columns == docs.columns
 
 
-def test_exact_dedup_hot_group_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(exact, "HOT_LEAST", 5)
-    rows = [(i, "copy") for i in range(40)] + [(0, "copy"), (None, "copy"), (7, "alone"), (None, "x"), (None, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = exact.exact_dedup(df).select("row.*", "keep_id", "group_size", "kept").collect()
-    copies = [r for r in got if r.text == "copy"]
-    assert {(r.keep_id, r.group_size) for r in copies} == {(0, 42)} and sum(r.kept for r in copies) == 1
-    assert sum(r.kept for r in got if r.text == "x") == 1 and len(got) == len(rows)
+@pytest.mark.parametrize("task_bytes", [32_000_000, 600, 100])
+def test_exact_dedup_hot_groups_on_each_side_of_the_limit(spark, task_bytes):
+    rows = [(i, "copy  it") for i in range(40)] + [(0, "copy it"), (None, "copy it"), (7, "alone")] + [(None, "none")] * 50 + [(None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = exact.exact_dedup(df, task_bytes=task_bytes).select("row.*", "keep_id", "group_size", "kept").collect()
+    assert len(got) == len(rows)
+    for text, want in (("copy it", (0, 42)), ("alone", (7, 1)), ("none", (None, 50)), ("", (3, 2))):
+        group = [r for r in got if " ".join((r.text or "").split()) == text]
+        assert {(r.keep_id, r.group_size) for r in group} == {want} and sum(r.kept for r in group) == 1
 
 
 def test_mixing(docs, none, spark):
@@ -107,9 +110,39 @@ def test_kd_shards(docs, none, spark):
     assert kdshard.kd_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("shards", [10, 40, 3])
+def test_kd_shards_keep_equal_texts_together(spark, shards):
+    i = F.col("id")
+    text = F.when(i < 900, F.lit("copy " * 20)).when(i < 1100, F.lit("other " * 20)).when(i < 1150, F.lit("third " * 22)).otherwise(F.repeat(F.md5(i.cast("string")), (i % 6 + 1).cast("int")))
+    many = spark.range(3000).select(i.alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), (i % 4).cast("string").alias("source"))
+    got = pd.DataFrame([r.asDict() for r in kdshard.kd_shards(many.unionByName(many.where("doc_id = 2000")), shards).collect()])
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == 3001 and len(load) == shards and load.max() / load.min() < 1.05
+    leaf = got["size"].sum() / shards
+    for a, b in ((0, 900), (900, 1100), (1100, 1150)):
+        group = got[(got.doc_id >= a) & (got.doc_id < b)]
+        assert group.shard.nunique() <= (1 if group["size"].sum() <= leaf else np.ceil(group["size"].sum() / leaf) + 1)
+    assert got[got.doc_id == 2000].shard.nunique() == 1
+
+
+def test_kd_shards_of_odd_rows(spark):
+    odd = spark.createDataFrame([(None, None, None, None), (None, "", "x", "y"), (2**62, "long " * 5000, None, "y"), (-5, "a", "b", None)], "doc_id long, text string, lang string, source string")
+    got = kdshard.kd_shards(odd, 4).collect()
+    assert sorted(r["size"] for r in got) == [16, 16, 17, 25016] and all(0 <= r.shard < 4 for r in got)
+
+
+def plain_sets(rows, k):
+    """Shingles by their words: ASCII letters in lower case, divided at white space."""
+    out = {}
+    for i, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
+        out[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
+    return out
+
+
 def brute_components(rows, k):
-    hashes = textbytes.WordHashes()
-    sets = {i: minhash.shingles(t, k, hashes) for i, t in rows}
+    sets = plain_sets(rows, k)
     parent = {i: i for i in sets}
 
     def find(x):
@@ -119,7 +152,7 @@ def brute_components(rows, k):
 
     for a in sets:
         for b in sets:
-            if a < b and minhash.similar(sets[a], sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}, sets
@@ -149,30 +182,93 @@ def test_near_duplicates_chain_and_large_group(spark):
     assert got.pop(None) is None and got == want
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_at_the_threshold(spark, k):
+    """Groups of near copies around 0.8 in which hardly any signature says enough; the match threshold changes nothing."""
+    r = random.Random(5)
+    vocabulary, rows = [f"w{i}" for i in range(200)], []
+    for length in (12, 40, 100, 160):
+        base = [r.choice(vocabulary) for _ in range(length)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, length // 8))):
+                words[r.randrange(length)] = r.choice(vocabulary)
+            rows.append((2 * len(rows) + 1, " ".join(words)))
+    want, sets = brute_components(rows, k)
+    assert 10 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for needed in (None, 92):
+        got = by_id(minhash.near_duplicates(df, k, chunk_bytes=20_000, bucket_bytes=5_000, needed=needed))
+        assert {i: (x.component_id, x.n_shingles) for i, x in got.items()} == {i: (want[i], len(sets[i])) for i in want}
+
+
+def test_near_duplicates_of_rows_that_share_an_identifier(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7, "another text of its own"), (7, " ".join(base)), (9, " ".join(["x", *base[1:]])), (9, " ".join(["x", *base[1:]]))]
+    got = [(r.component_id, r.kept, r.n_shingles) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).orderBy("doc_id", "n_shingles").collect()]
+    assert got == [(7, True, 4), (7, True, 59), (7, False, 59), (7, False, 59)]
+
+
+def test_shingles_of_odd_words():
+    texts = ["x" * 300 + " y", "X" * 300 + "\ty", "\x1c\x85 \u2003", "a" * 8 + " " + "a" * 16, None, "é É"]
+    sets = list(textbytes.shingle_sets(texts, 1))
+    assert [len(s) for s in sets] == [2, 2, 2, 2, 0, 2] and (sets[0] == sets[1]).all()
+    for k in (1, 2, 5):
+        many = [t for _, t in corpus(7)]
+        assert [len(s) for s in textbytes.shingle_sets(many, k)] == [len(s) for s in plain_sets(enumerate(many), k).values()]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.component for r in components(links).collect()} == {0}
 
 
-def test_repeats(spark, docs, none):
-    rows, seen, want = corpus(), {}, {}
-    for i, t in sorted(rows):
-        b = (t or "").encode()
+def brute_repeats(rows):
+    top, first, out = 2**63 - 1, {}, []
+    texts = [(top if i is None else i, i, (t or "").encode()) for i, t in rows]
+    for order, _, b in texts:
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], 2**64), order)
+    for order, i, b in texts:
         gone = np.zeros(len(b), dtype=bool)
         for p in range(len(b) - 49):
-            if seen.get(b[p : p + 50], i) < i:
+            if first[b[p : p + 50]] < order:
                 gone[p : p + 50] = True
-        for p in range(len(b) - 49):
-            seen.setdefault(b[p : p + 50], i)
         left = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
-        want[i] = (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(left).hexdigest())
-    for size in (2_000_000, 3_000):
-        got = by_id(runindex.remove_repeats(docs, chunk_bytes=size, bucket_bytes=4_000))
-        assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
-    assert sum(w[1] for w in want.values()) > 1000
+        out.append((i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeats(spark, none):
+    rows = corpus()
+    rows += [(2**63 - 1, rows[3][1] + " tail"), (None, rows[5][1]), (None, "b" * 400), (9000, "a" * 3000), (9001, "a" * 500 + "b" * 60), (777, rows[5][1] + rows[6][1]), (777, rows[5][1])]
+    want, df = brute_repeats(rows), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size, hot in ((2_000_000, 4096), (3_000, 3)):
+        got = runindex.remove_repeats(df, chunk_bytes=size, bucket_bytes=4_000, hot=hot).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == want
+    assert sum(w[2] for w in want) > 1000 and not [t for t in spark.catalog.listTables() if t.name.startswith("chunks")]
     assert runindex.remove_repeats(none).count() == 0
 
 
+def test_run_compressed_index_against_brute_force():
+    r = random.Random(1)
+    for trial in range(40):
+        width, alphabet = r.choice([5, 8]), "ab" if trial % 2 else "abcdefgh"
+        base, contents, docs, groups = [("".join(r.choice(alphabet) for _ in range(40))).encode() for _ in range(3)], [], [], []
+        for _ in range(r.choice([1, 2, 9, 30])):
+            b = bytearray(r.choice(base)[r.randint(0, 20) :])[: r.randint(width, 40)]
+            b[r.randrange(len(b))] = ord(r.choice(alphabet))
+            contents.append(bytes(b) if r.random() < 0.9 else b"a" * r.randint(width, 300))
+            docs.append(r.randint(0, 12)), groups.append(r.randrange(3) * 10**12)
+        lengths = np.array([len(c) for c in contents])
+        got = rlbwt.in_smaller(np.frombuffer(b"".join(contents), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths, np.array(docs), np.array(groups), width, piece=r.choice([3, 128]))
+        want = [
+            any(groups[j] == groups[i] and docs[j] < docs[i] and c[p : p + width] in contents[j] for j in range(len(contents)))
+            for i, c in enumerate(contents) for p in range(len(c) - width + 1)
+        ]
+        assert got.tolist() == want
+
+
 def test_packing(docs, none):
     own = Tokenizer.from_file(TOKENIZER)
     ids = {i: np.array(own.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4") for i, t in corpus()}
@@ -189,6 +285,33 @@ def test_packing(docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+def test_packing_of_long_runs_and_repeated_rows(spark):
+    own = Tokenizer.from_file(TOKENIZER)
+    encoder = packing.Encoder(TOKENIZER)
+    for text in ("a" + " " * 1_200_000 + "b", "\n" * 10_000, "x" * 150_000, " " * 9_999 + "b"):
+        assert encoder.ids(text) == own.encode(text, add_special_tokens=False).ids
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x250), r.randrange(0x2000, 0x3100), r.randrange(0x1F300, 0x1F700), 10, 9, 32])) for _ in range(60))
+        assert encoder.ids(text) == own.encode(text, add_special_tokens=False).ids
+    rows = [(None, "")] * 900 + [(1, "same text here")] * 900 + [(i, f"text {i} of many words") for i in range(2, 600)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), TOKENIZER, window=64, shard_rows=200)
+    assert got.groupBy(F.shiftright("sequence_id", 32)).count().agg(F.max("count")).first()[0] < 600 and got.where("start = 0").count() == len(rows)
+
+
+def test_bm25_scores_against_the_formula():
+    r = np.random.default_rng(2)
+    tails = [r.integers(0, 30, r.integers(1, 60)) for _ in range(25)]
+    df = np.array([sum(t in x for x in tails) for t in range(30)])
+    mean = np.mean([len(t) for t in tails])
+    index = packing.Index(tails, df, len(tails), mean)
+    for seed in range(25):
+        weight = lambda i, t: np.log(1 + (25 - df[t] + 0.5) / (df[t] + 0.5)) * (f := (tails[i] == t).sum()) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(tails[i]) / mean))
+        terms = sorted(set(tails[seed]), key=lambda t: (-weight(seed, t), t))[:12]
+        assert set(index.query[seed].tolist()) == set(terms)
+        assert np.allclose(index.scores(seed), [sum(weight(i, t) for t in terms) for i in range(25)])
+
+
 def test_packing_prefers_related_tails():
     tails = [np.array([1, 2, 3] * 10), np.array([7, 8, 9] * 10), np.array([1, 2, 3] * 10), np.array([7, 8, 9] * 10)]
     index = packing.Index(tails, np.full(10, 2), 4, 30.0)
@@ -200,7 +323,7 @@ def test_nearest_neighbours(spark):
     x[700:760] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0]), (None, x[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = pd.DataFrame([r.asDict() for r in annindex.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=600).collect()])
+    got = pd.DataFrame([r.asDict() for r in annindex.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=600, query_block=10).collect()])
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     hit = 0
     for q in range(0, 1500, 50):
@@ -215,6 +338,20 @@ def test_nearest_neighbours(spark):
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [700, 701, 702, 703, 704]
     assert set(got.query_id) == set(range(0, 1500, 50))
     assert annindex.nearest(df.limit(0), df.limit(0)).count() == 0
+    few = df.where("vec_id in (0, 1, 2, 50) or vec_id is null").unionByName(df.where("vec_id = 1"))
+    assert sorted((r.query_id, r["rank"]) for r in annindex.nearest(few, few.where("vec_id % 50 = 0")).collect()) == [(q, i) for q in (0, 50) for i in (1, 2, 3)]
+
+
+def test_beams_leave_a_group_of_near_copies():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2500, 64))
+    x[1500:] = x[8] + 0.01 * r.normal(size=(1000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph, start = annindex.build_graph(unit.astype(np.float32))
+    asked = np.arange(0, 2500, 50)
+    found, _ = annindex.beam_search(unit.astype(np.float32), graph, start, unit[asked].astype(np.float32), annindex.SEARCH_BEAM)
+    want = np.argsort(-(unit[asked] @ unit.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(found.tolist(), want.tolist())]) >= 0.95
 
 
 def test_quality_and_toxicity(spark, none):
@@ -251,6 +388,52 @@ def test_flattened_trees_match_a_walk():
     assert np.allclose(forest.score(x[:50]), [walk(v) for v in x[:50]])
 
 
+def test_first_tree_takes_the_best_split():
+    """Against all splits of all features, by the gain of the logistic loss."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 4)), None
+    y = (x[:, 2] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    forest = quality.fit_forest(x, y, trees=1, depth=1, bins=64)
+    p = y.mean()
+    g, h, best = p - y, np.full(300, p * (1 - p)), (-1.0, None)
+    for j in range(4):
+        for edge in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1], method="lower")):
+            low = x[:, j] <= edge
+            if min(low.sum(), (~low).sum()) >= quality.LEAST_ROWS:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + quality.L2) for m in (low, ~low))
+                best = max(best, (gain, (j, edge)), key=lambda b: b[0])
+    root = forest.roots[0]
+    assert (int(forest.feature[root]), float(forest.threshold[root])) == best[1]
+    low = x[:, best[1][0]] <= best[1][1]
+    for side, rows in enumerate((low, ~low)):
+        assert np.isclose(forest.value[forest.left[root] + side], -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2))
+
+
+def test_statistics_of_odd_texts():
+    for t in (None, "", " ", "a" * 100_000, "\n\n", "x y " * 50_000, "\x00\ud800".encode("utf-8", "surrogatepass").decode("utf-8", "replace")):
+        s = quality.statistics(t)
+        assert len(s) == len(quality.FEATURES) and all(np.isfinite(s))
+
+
+def test_labels_that_disagree_or_are_null(spark):
+    docs = spark.createDataFrame([(i, f"{'good words here' if i % 2 else '#### ???? $$$$'} {i}") for i in range(200)], "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(200)] + [(4, 1), (6, None), (None, 1), (999, 1)]
+    labels = spark.createDataFrame([(i, q, 1 - q if q is not None else None) for i, q in marks], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        got = by_id(module.score_documents(docs, labels))
+        assert len(got) == 200 and all(0 <= r.score <= 1 for r in got.values())
+    one_kind = labels.where("quality = 1")
+    assert {r.score for r in quality.score_documents(docs, one_kind).collect()} != set() and toxicity.score_documents(docs, one_kind).count() == 200
+
+
+def test_swaps_that_meet_their_substitute():
+    h = toxicity.word_hash
+    alone = toxicity.swaps_in("the women came")
+    assert alone == [h("women") * toxicity.HASHES + h("men")]
+    both = toxicity.swaps_in("women and men came. the end")
+    assert sorted(both) == sorted(h(t) * toxicity.HASHES + h(t) for t in ("women", "men"))
+
+
 def test_identity_terms_get_like_weights():
     terms = [toxicity.word_hash(w) for w in ("muslim", "christian")]
     bad = toxicity.word_hash("bad")
@@ -279,11 +462,61 @@ def test_tool_calls(spark):
     assert toolchat.link_tool_calls(calls.limit(0), results.limit(0), {}).count() == 0
 
 
+def test_tool_calls_of_odd_arguments(spark):
+    rows = [("c", str(i), i, "t", a, []) for i, a in enumerate(['{"a":1,"a":2}', '{"a":' + "9" * 45 + "}", '{"a":"' + "x" * 100_000 + '"}', '{"b":[1,{"d":null,"c":2}],"a":"x"}'])]
+    calls = spark.createDataFrame(rows, "conv string, call_id string, seq long, name string, arguments string, depends_on array<string>")
+    got = {r.call_id: r for r in toolchat.link_tool_calls(calls, calls.select("conv", "call_id", "seq", F.lit(None).cast("string").alias("content")), {"t": {"a": ("string", True)}}).collect()}
+    assert got["0"].errors == ["not_an_object"] and got["1"].errors == ["type:a"] and got["2"].errors == [] and len(got["2"].message) > 100_000
+    assert got["3"].message == '{"arguments":{"a":"x","b":[1,{"c":2,"d":null}]},"id":"3","name":"t","result":null}'
+
+
+def test_calls_that_wait_for_later_calls(spark):
+    edges = [("1", []), ("2", ["5"]), ("3", ["2"]), ("4", ["1"]), ("5", ["4"]), ("6", ["7"]), ("7", ["6"]), ("8", ["7"]), ("9", ["9"])]
+    calls = spark.createDataFrame([("c", i, int(i), "t", "{}", d) for i, d in edges], "conv string, call_id string, seq long, name string, arguments string, depends_on array<string>")
+    got = sorted(toolchat.link_tool_calls(calls, calls.select("conv", "call_id", "seq", F.lit("r").alias("content")), {"t": {}}).collect(), key=lambda r: r.topo_order)
+    assert [r.call_id for r in got] == ["1", "4", "5", "2", "3", "6", "7", "8", "9"] and [r.call_id for r in got if r.cyclic] == ["6", "7", "8", "9"]
+
+
 def test_conversation_turns(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", "more"), (None, 0, "user", "x"), (2, 0, "assistant", "y")], "conv_id long, turn long, role string, text string")
-    got = {r.call_id: r for r in toolchat.link_tool_calls(*toolchat.turns_as_calls(turns), toolchat.REPLY_SCHEMA).collect()}
-    assert got["1:0"].status == "linked" and got["1:2"].status == "unanswered" and got["2:-1"].status == "orphan_result" and len(got) == 3
-    assert got["1:2"].topo_order == 2 and got["1:0"].errors == []
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", "more"), (None, 0, "user", "x"), (2, 0, "assistant", "y"), (3, 0, "system", "s"), (3, 1, None, "z")], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in toolchat.link_tool_calls(*toolchat.turns_as_calls(turns), toolchat.TURN_SCHEMAS).collect()}
+    assert got["1:0"].status == "linked" and got["1:2"].status == "unanswered" and got["2:-1"].status == "orphan_result" and got["1:1:note"].status == "linked"
+    assert got["1:2"].topo_order == 3 and got["1:0"].errors == [] and got["3:0:system"].errors == [] and got["3:1:"].errors == ["unknown_tool"] and len(got) == 7
+
+
+def test_turns_reach_every_branch(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = toolchat.link_tool_calls(*toolchat.turns_as_calls(turns), toolchat.TURN_SCHEMAS).collect()
+    seen = {e for r in rows for e in r.errors}
+    assert {"not_an_object", "unknown_tool", "missing:turn", "type:turn"} <= seen and {r.status for r in rows} == {"linked", "unanswered", "orphan_result"}
+    assert any(r.cyclic for r in rows) and any(r.missing_deps for r in rows)
+
+
+CONTRACT = {
+    "op2_run_length_index": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op3_kd_tree_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op4_pruned_graph_search": "query_id bigint, rank int, vec_id bigint, score double",
+    "op5_minhash_inverted_join": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_content_sort_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op7_quality_gbt": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_toxicity_counterfactual": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_systematic_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op10_lexical_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+}
+
+
+@pytest.mark.parametrize("name", [*CONTRACT, "op1_tool_call_linking"])
+def test_registered_queries_have_the_columns_of_the_contract(spark, name):
+    df = registered.queries()[name](spark, "/root/testdata/sf0.001")
+    types = dict(df.dtypes)
+    for column in CONTRACT.get(name, "").split(", "):
+        if column:
+            assert types[column.split()[0]] == column.split()[1], column
+    rows = df.collect()
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    if "doc_id" in types and name != "op10_lexical_packing":
+        assert len(rows) == documents
+    assert rows
 
 
 def test_pipeline(spark):
@@ -301,6 +534,42 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == now
 
 
+@pytest.fixture(scope="module")
+def odd_tables(tmp_path_factory, spark):
+    """Documents with nulls, empty texts, repeats, a very long text and columns that clash; labels of some."""
+    folder = tmp_path_factory.mktemp("odd")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _copies int, copies int, row string, kept boolean, score double, _norm string"
+    rest = (7, 8, "r", True, 0.5, "n")
+    rows = [(i, t, None if i % 3 else "en", None if i % 4 else "s", None, *rest) for i, t in corpus(3, 30)]
+    rows += [rows[2], (None, None, None, None, None, *rest), (None, "text without a name", None, "s", 3, *rest), (900, "word " * 30_000, "en", "s", 1, *rest)]
+    spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{folder}/full/documents.parquet")
+    spark.createDataFrame([], columns).write.parquet(f"{folder}/empty/documents.parquet")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(0, 90, 3)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for kind in ("full", "empty"):
+        labels.limit(0 if kind == "empty" else 100).write.parquet(f"{folder}/{kind}/labels.parquet")
+    return folder, rows
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd_tables):
+    import corpus_pipeline as p
+
+    folder, rows = odd_tables
+    for kind in ("empty", "full"):
+        docs = spark.read.parquet(f"{folder}/{kind}/documents.parquet")
+        columns = docs.columns
+        for name, stage in p.STAGES[:-1]:
+            # each stage alone, on what the first left or on all
+            assert stage(spark, docs, f"{folder}/{kind}").columns == columns, name
+        assert p.run(spark, f"{folder}/{kind}").count() >= (0 if kind == "empty" else 1)
+    docs = spark.read.parquet(f"{folder}/full/documents.parquet")
+    exactly = p.drop_copies(spark, docs, "").count()
+    assert exactly == len({" ".join(re.split("[\x20\x09-\x0d]+", r[1] or "")) for r in rows})
+    near = p.drop_near_copies(spark, docs, "")
+    assert near.where("doc_id is null").count() == 2 and near.where("doc_id = 900").count() == 1
+    packed = p.pack_sequences(spark, docs, "").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows}
+
+
 def test_packing_finds_related_documents_of_other_digests(spark):
     r = random.Random(4)
     words = [f"{a}{b}" for a in ("red", "blue", "sun", "moon", "tree", "fish", "iron", "salt") for b in ("ton", "ly", "man", "side", "ward", "let")]
