@@ -1,7 +1,12 @@
 """A training corpus from raw documents: five of the corpus operators in a row.
 
 Each stage takes all documents its predecessor kept and returns those that it keeps, with the columns of ``documents``;
-the last returns the pieces of packed sequences. Rows that share an identifier are taken equally often by the mix.
+the last returns the pieces of packed sequences.
+
+Defined results: a null text is an empty one in every stage; a row without identifier is judged like others, is no near
+copy of any, and such rows are taken equally often by the mix, as are rows that share an identifier; of exact copies the
+smallest identifier stays, of rows that repeat one of them; rows of a source without words are not in the mix; other
+columns, whatever their names, stay until packing; empty tables give empty results.
 """
 
 from __future__ import annotations
