@@ -53,10 +53,9 @@ def eigengap(a: np.ndarray, most: int | None = None) -> int:
     if n <= 1 or not ((a - np.diag(np.diag(a))) > 0).any():
         return n
     values = np.sort(np.linalg.eigvalsh(normalised_laplacian(a)))
-    low, high = int(connectivity(a).max()) + 1, min(n, most or n)
+    low, high = int(connectivity(a).max()) + 1, max(1, min(n, most or n))
     gaps = values[1:] - values[:-1]
-    counts = range(min(low, high), high)
-    return max(counts, key=lambda k: (round(float(gaps[k - 1]), 9), -k)) if len(counts) else high
+    return max(range(low, high), key=lambda k: (round(float(gaps[k - 1]), 9), -k)) if low < high else low
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 8, rounds: int = 100) -> np.ndarray:

@@ -9,22 +9,35 @@ from ..functions.taxonomy import canonical_label
 from ..functions.texts import DISTANCE, LATERALITY, MAX_SURROUNDINGS, VERTICALITY, enum_value, rank_of, safe_or
 
 # The closed sets of a scene document.
-VIEW_TYPES = tuple("living room, bedroom, kitchen, bathroom, dining room, hallway, entryway, balcony, laundry room, staircase, study, utility room, unknown, other".split(", "))
-ROOM_FUNCTIONS = tuple("resting, cooking, dining, bathing, working, storage, circulation, mixed, unknown".split(", "))
-STYLES = tuple("modern, minimalist, traditional, rustic, industrial, scandinavian, eclectic, unknown, other".split(", "))
-CLUTTER = tuple("low, medium, high, unknown".split(", "))
-FLOORS = tuple("wood, laminate, tile, carpet, rug, stone, concrete, unknown, other".split(", "))
-LIGHTING = tuple("recessed lights, chandelier, pendant lights, ceiling lamp, ceiling fan light, natural light source, mixed lighting, unknown, other".split(", "))
-SUPPORT = tuple("on, under, inside, hanging_on, attached_to, freestanding, unknown".split(", "))
+VIEW_TYPES = ("living room", "bedroom", "kitchen", "bathroom", "dining room", "hallway", "entryway", "balcony", "laundry room", "staircase", "study", "utility room", "unknown", "other")
+ROOM_FUNCTIONS = ("resting", "cooking", "dining", "bathing", "working", "storage", "circulation", "mixed", "unknown")
+STYLES = ("modern", "minimalist", "traditional", "rustic", "industrial", "scandinavian", "eclectic", "unknown", "other")
+CLUTTER = ("low", "medium", "high", "unknown")
+FLOORS = ("wood", "laminate", "tile", "carpet", "rug", "stone", "concrete", "unknown", "other")
+LIGHTING = ("recessed lights", "chandelier", "pendant lights", "ceiling lamp", "ceiling fan light", "natural light source", "mixed lighting", "unknown", "other")
+SUPPORT = ("on", "under", "inside", "hanging_on", "attached_to", "freestanding", "unknown")
 SUPPORT_NAMES = {"hanging on": "hanging_on", "attached to": "attached_to"}
 BACKGROUND = ("wall feature", "floor pattern")
-#: A JSON object with any of these keys is a scene document.
-SIGNATURE = "visual_feature, visual_features, view_type, room_function, style_hint, clutter_level, image_summary, objects".split(", ")
+# A JSON object with any of these keys is a scene document.
+SIGNATURE = ("visual_feature", "visual_features", "view_type", "room_function", "style_hint", "clutter_level", "image_summary", "objects")
 
-_NEAR = "array<struct<label:string,attributes:array<string>,distance_from_primary_m:string,distance_from_camera_m:string,relative_height_from_camera_m:string,relative_bearing_deg:string,estimated_global_x:string,estimated_global_y:string,estimated_global_z:string,relation_to_primary:string>>"
-_FEATURE = f"array<struct<feature_id:string,type:string,description:string,attributes:array<string>,relative_position_laterality:string,laterality:string,relative_position_distance:string,distance:string,relative_position_verticality:string,verticality:string,distance_from_camera_m:string,relative_height_from_camera_m:string,relative_bearing_deg:string,estimated_global_x:string,estimated_global_y:string,estimated_global_z:string,support_relation:string,any_text:string,long_form_open_description:string,`Long form open description`:string,location_relative_to_other_objects:string,surrounding_context:{_NEAR}>>"
-_OLD = "array<struct<meta:struct<label:string,attributes:array<string>>,location:struct<bbox_xywh_norm:array<double>>>>"
-_SCENE = f"struct<view_type:string,room_function:string,style_hint:string,clutter_level:string,floor_pattern:string,lighting_ceiling:string,wall_color:string,`wall color`:string,additional_notes:string,image_summary:string,scene_attributes:array<string>,visual_feature:{_FEATURE},visual_features:{_FEATURE},objects:{_OLD}>"
+_FEATURE = "struct<feature_id:string,type:string,description:string,attributes:array<string>,relative_position_laterality:string,laterality:string,relative_position_distance:string,distance:string,relative_position_verticality:string,verticality:string,distance_from_camera_m:string,relative_height_from_camera_m:string,relative_bearing_deg:string,estimated_global_x:string,estimated_global_y:string,estimated_global_z:string,support_relation:string,any_text:string,long_form_open_description:string,`Long form open description`:string,location_relative_to_other_objects:string,surrounding_context:variant>"
+_OLD = "struct<meta:struct<label:string,attributes:array<string>>,location:struct<bbox_xywh_norm:array<double>>>"
+_SCENE = "struct<view_type:string,room_function:string,style_hint:string,clutter_level:string,floor_pattern:string,lighting_ceiling:string,wall_color:string,`wall color`:string,additional_notes:string,image_summary:string,scene_attributes:array<string>,visual_feature:variant,visual_features:variant,objects:variant>"
+
+
+def _is_object(item: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+
+
+def _items(value: Column) -> Column:
+    """The items of a variant that is an array; no items if it is anything else."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _structs(value: Column, schema: str) -> Column:
+    """The objects among the items, each read on its own, so that a strange one does not spoil the others."""
+    return F.transform(F.filter(_items(value), _is_object), lambda f: F.from_json(F.to_json(f), schema))
 
 
 def json_object(text: Column) -> Column:
@@ -57,9 +70,11 @@ def bins_from_geometry(cx: Column, cy: Column, width: Column, height: Column, di
 
 
 def _surroundings(raw: Column) -> Column:
+    """The first surroundings listed, whatever they are, and of those the objects."""
     numbers = ("distance_from_primary_m", "distance_from_camera_m", "relative_height_from_camera_m", "relative_bearing_deg", "estimated_global_x", "estimated_global_y", "estimated_global_z")
-    one = lambda c: F.struct(safe_or(c["label"], "unknown").alias("label"), clean_list(c["attributes"]).alias("attributes"), *(number(c[n]).alias(n) for n in numbers), safe_or(c["relation_to_primary"], "").alias("relation_to_primary"))
-    return F.transform(F.slice(F.filter(F.coalesce(raw, F.array().cast(_NEAR)), lambda c: c.isNotNull()), 1, MAX_SURROUNDINGS), one)
+    text = lambda c, n: F.try_variant_get(c, f"$.{n}", "string")
+    one = lambda c: F.struct(safe_or(text(c, "label"), "unknown").alias("label"), clean_list(F.try_variant_get(c, "$.attributes", "array<string>")).alias("attributes"), *(number(text(c, n)).alias(n) for n in numbers), safe_or(text(c, "relation_to_primary"), "").alias("relation_to_primary"))
+    return F.transform(F.filter(F.slice(_items(raw), 1, MAX_SURROUNDINGS), _is_object), one)
 
 
 def _feature(f: Column, i: Column) -> Column:
@@ -86,7 +101,7 @@ def _old_feature(o: Column, i: Column) -> Column:
         F.lit("").alias("given_id"), i.alias("position"), label.alias("raw_type"), canonical_label(label).alias("type"), text.alias("description"), attributes.alias("attributes"),
         side.alias("laterality"), distance.alias("distance"), height.alias("verticality"),
         *(missing.alias(n) for n in ("distance_from_camera_m", "relative_height_from_camera_m", "relative_bearing_deg", "estimated_global_x", "estimated_global_y", "estimated_global_z")),
-        F.lit("unknown").alias("support_relation"), F.lit("").alias("any_text"), text.alias("long_form"), _surroundings(F.lit(None).cast(_NEAR)).alias("surroundings"),
+        F.lit("unknown").alias("support_relation"), F.lit("").alias("any_text"), text.alias("long_form"), _surroundings(F.lit(None).cast("variant")).alias("surroundings"),
     )
 
 
@@ -101,8 +116,8 @@ def parse_scenes(docs: DataFrame, text: str = "text") -> DataFrame:
     is_old = F.array_contains(keys, "objects") & ~F.array_contains(keys, "visual_feature") & ~F.array_contains(keys, "visual_features")
     rows = rows.withColumn("status", F.when(~signed, "failed").when(is_old, "legacy").otherwise("ok"))
     s = F.col("_s")
-    new = F.transform(F.filter(F.coalesce(s["visual_feature"], s["visual_features"], F.array().cast(_FEATURE)), lambda f: f.isNotNull()), _feature)
-    old = F.transform(F.coalesce(s["objects"], F.array().cast(_OLD)), _old_feature)
+    new = F.transform(_structs(F.coalesce(s["visual_feature"], s["visual_features"]), _FEATURE), _feature)
+    old = F.transform(_structs(s["objects"], _OLD), _old_feature)
     rows = rows.withColumn("_all", F.when(F.col("status") == "legacy", old).otherwise(new))
     background = lambda f: F.translate(F.lower(F.trim(F.coalesce(f["raw_type"], F.lit("")))), "_-", "  ").isin(*BACKGROUND)
     parts = lambda f: F.slice(F.filter(F.array(F.when(f["description"] != "unknown", f["description"]), F.when(F.size(f["attributes"]) > 0, F.array_join(F.slice(f["attributes"], 1, 4), ", ")), F.when(~f["long_form"].isin("", "unknown"), f["long_form"])), lambda p: p.isNotNull()), 1, 2)

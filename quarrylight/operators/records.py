@@ -64,6 +64,28 @@ def far_from(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     return keyed.join(dealt, meets, "left_anti").drop("_i", "_j")
 
 
+def spaced(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """Points (key, x, z) taken in the order of ``key``, each unless a taken one is nearer than ``radius``.
+
+    In rounds: a point without an open smaller neighbour is taken, and what is near it goes. Pairs meet in grid cells.
+    """
+    reach = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    own = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("z").alias("az"), cell("x").alias("i"), cell("z").alias("j"))
+    dealt = points.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"), cell("x").alias("_i"), cell("z").alias("_j")).withColumn("_di", F.explode(reach)).withColumn("_dj", F.explode(reach))
+    dealt = dealt.select("b", "bx", "bz", (F.col("_i") + F.col("_di")).alias("i"), (F.col("_j") + F.col("_dj")).alias("j"))
+    keep = (lambda d: d.checkpoint()) if points.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d)
+    near = keep(own.join(dealt, ["i", "j"]).where((F.col("b") < F.col("a")) & (F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz")) < radius)).select("a", "b"))
+    waiting, taken = points.select(F.col(key).alias("a")), None
+    while not waiting.isEmpty():
+        ready = keep(waiting.join(near.select("a").distinct(), "a", "left_anti"))
+        taken = ready if taken is None else taken.unionByName(ready)
+        gone = near.join(ready.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct()
+        waiting = keep(waiting.join(ready, "a", "left_anti").join(gone, "a", "left_anti"))
+        near = keep(near.join(waiting, "a", "left_semi").join(waiting.select(F.col("a").alias("b")), "b", "left_semi"))
+    return points.join(taken.select(F.col("a").alias(key)), key, "left_semi") if taken is not None else points
+
+
 def same_object_groups(pairs: DataFrame) -> DataFrame:
     """(group_no, object_id, size) of objects joined by positive pairs (a, b, label), numbered by their smallest object."""
     c = connected_components(pairs.where("label = 1"), "a", "b")
@@ -89,9 +111,18 @@ def label_jitter(clusters: DataFrame, keys: list[str]) -> DataFrame:
     return clusters.groupBy(*keys).agg(F.countDistinct("label").alias("n_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")).where("n_labels > 1")
 
 
-def file_names(document: Column) -> Column:
-    """All values of ``file_name``, however deep, in a JSON text."""
-    return F.array_distinct(F.regexp_extract_all(document, F.lit('"file_name"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)))
+def file_names(docs: DataFrame, key: str, document: str, name: str = "file_name") -> DataFrame:
+    """(key, value): the distinct texts under ``name``, however deep in a JSON text; one pass for each level of nesting."""
+    spark = docs.sparkSession
+    level = docs.select(key, F.try_parse_json(document).alias("_v")).where("_v is not null")
+    found = None
+    while True:
+        parts = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(F.col(key), F.col("key").alias("_k"), F.col("value").alias("_v"))
+        hit = parts.where((F.col("_k") == name) & F.schema_of_variant("_v").startswith("STRING")).select(key, F.variant_get("_v", "$", "string").alias("value"))
+        found = hit if found is None else found.unionByName(hit)
+        level = parts.where(F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).select(key, "_v")
+        if level.isEmpty():
+            return found.distinct()
 
 
 def view_attributes(scene: Column) -> Column:

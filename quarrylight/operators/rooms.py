@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 
 def valid_objects(objects: DataFrame) -> DataFrame:
-    return objects.where(~F.lower(F.coalesce("label", F.lit("unknown"))).isin("unknown", "none", "other"))
+    """Objects with a label that says something, parsed or from an API; a table without ``parse_status`` is all parsed."""
+    said = objects.where(~F.lower(F.trim(F.coalesce("label", F.lit("")))).isin("", "unknown", "none", "other"))
+    return said.where(F.lower(F.trim(F.coalesce("parse_status", F.lit("unknown")))).isin("ok", "api")) if "parse_status" in objects.columns else said
 
 
 def semantic_rooms(objects: DataFrame, places: DataFrame, least: int = 3) -> DataFrame:

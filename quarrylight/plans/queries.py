@@ -180,22 +180,27 @@ def gaussian_fusion(spark, d):
 
 _TYPES_SQL = "[" + ",".join(f"'{t}'" for t in taxonomy.TYPES) + "]"
 _ALIAS_SQL = "MAP {" + ",".join(f"'{a}': '{b}'" for a, b in taxonomy.ALIASES.items()) + "}"
-SAMPLES = ["Sofa", "arm-chair", "PLANTS", "glasses", "shelves", "couches", "wall_clock", "", "boxes", "TV stand", "dishes", "benches", "unknown", "  Lamp ", "stools", "vases", "bookshelf"]
-LABELS = "VALUES " + ", ".join(f"('{x}')" for x in SAMPLES)
+#: How a detector may write an object's label.
+RAW_LABEL = "CASE object_global_id % 8 WHEN 0 THEN upper(label) WHEN 1 THEN label || 's' WHEN 2 THEN replace(label, ' ', '_') WHEN 3 THEN '  ' || label || '-' WHEN 4 THEN ['Sofa', 'PLANTS', 'glasses', 'shelves', 'couches', 'dishes', 'TV stand', 'arm-chair'][{i}] WHEN 5 THEN label || 'es' WHEN 6 THEN '' ELSE 'no such ' || label END"
 
 
-@query(f"""WITH v(raw) AS ({LABELS}), t AS (SELECT raw, replace(replace(lower(trim(raw)), '_', ' '), '-', ' ') AS t FROM v), n AS (SELECT raw, t, coalesce({_ALIAS_SQL}[t], t) AS n FROM t)
-SELECT raw, CASE WHEN t = '' THEN 'other' WHEN list_contains({_TYPES_SQL}, n) THEN n WHEN n LIKE '%s' AND list_contains({_TYPES_SQL}, n[:-2]) THEN n[:-2] WHEN n LIKE '%es' AND list_contains({_TYPES_SQL}, n[:-3]) THEN n[:-3] ELSE 'other' END AS label FROM n""")
+def _raw_label() -> F.Column:
+    known = "'Sofa', 'PLANTS', 'glasses', 'shelves', 'couches', 'dishes', 'TV stand', 'arm-chair'"
+    return F.expr(RAW_LABEL.replace(f"[{known}][{{i}}]", f"element_at(array({known}), cast((object_global_id div 8) % 8 + 1 as int))"))
+
+
+@query(f"""{WITH}, v AS (SELECT object_global_id, {RAW_LABEL.replace("{i}", "object_global_id // 8 % 8 + 1")} AS raw FROM obs), t AS (SELECT *, replace(replace(lower(trim(raw)), '_', ' '), '-', ' ') AS t FROM v), n AS (SELECT *, coalesce({_ALIAS_SQL}[t], t) AS n FROM t)
+SELECT object_global_id, raw, CASE WHEN t = '' THEN 'other' WHEN list_contains({_TYPES_SQL}, n) THEN n WHEN n LIKE '%s' AND list_contains({_TYPES_SQL}, n[:-2]) THEN n[:-2] WHEN n LIKE '%es' AND list_contains({_TYPES_SQL}, n[:-3]) THEN n[:-3] ELSE 'other' END AS label FROM n""")
 def label_canonicalize(spark, d):
-    raw = [(x,) for x in SAMPLES]
-    return spark.createDataFrame(raw, "raw string").select("raw", taxonomy.canonical_label(F.col("raw")).alias("label"))
+    raw = derived_observations(spark, d).select("object_global_id", _raw_label().alias("raw"))
+    return raw.withColumn("label", taxonomy.canonical_label(F.col("raw")))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(regexp_replace(text[:80], '\\s+', ' ', 'g')) = '' THEN 'unknown' ELSE trim(regexp_replace(text[:80], '\\s+', ' ', 'g')) END AS safe,
-CASE WHEN length(trim(text[:300])) > 40 THEN translate(trim(text[:300]), chr(10) || ';|', ' ,/')[:37] || '...' ELSE translate(trim(text[:300]), chr(10) || ';|', ' ,/') END AS cut, md5(source || '|' || lang) AS key FROM documents""")
+@query("""SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'unknown' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS safe,
+CASE WHEN length(trim(text)) > 40 THEN translate(trim(text), chr(10) || ';|', ' ,/')[:37] || '...' ELSE translate(trim(text), chr(10) || ';|', ' ,/') END AS cut, md5(source || '|' || lang) AS key FROM documents""")
 def text_normalize(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", texts.safe_text(F.substring("text", 1, 80), "unknown").alias("safe"), texts.sanitised(F.substring("text", 1, 300), 40).alias("cut"), texts.content_key(F.col("source"), F.col("lang")).alias("key"))
+    return docs.select("doc_id", texts.safe_text(F.col("text"), "unknown").alias("safe"), texts.sanitised(F.col("text"), 40).alias("cut"), texts.content_key(F.col("source"), F.col("lang")).alias("key"))
 
 
 _HALF = "CASE WHEN {0} IS NULL THEN 'na' ELSE printf('%.1f', round_even({0} * 2, 0) / 2) END"
@@ -587,12 +592,25 @@ def _scored(spark, d):
     return one("text", "sim").unionByName(one("fused", "fused"))
 
 
-@query(f"""WITH p(pair_id, db_dir, a, b, label, split) AS (VALUES ('p1', '/x/db1', 5, 3, 1, 'dev'), ('p2', 'db1/', 3, 5, 1, NULL), ('p3', '/x/db1', 4, 9, 0, 'dev'), ('p4', '/x/db2', 4, 9, 1, 'test'))
-SELECT regexp_extract(db_dir, '([^/]+)/*$', 1) AS db, least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b, min(pair_id) AS pair_id, min(label) AS label FROM p WHERE coalesce(split, 'dev') = 'dev' GROUP BY 1, 2, 3""")
+#: Each pair of a view is annotated twice, in either order, with the folder written in two ways; some belong to a test split.
+GT_PAIRS = f"""{OBS_SQL}, w AS (SELECT a.object_global_id AS i, b.object_global_id AS j, (a.label = b.label) AS same FROM obs a JOIN obs b ON a.entry_id = b.entry_id AND a.object_global_id < b.object_global_id),
+p AS (SELECT 'p' || i || '_' || j AS pair_id, '/data/db' || i % 3 AS db_dir, i AS a, j AS b, same, CASE WHEN j % 5 = 0 THEN 'test' WHEN j % 5 = 1 THEN NULL ELSE 'dev' END AS split FROM w
+  UNION ALL SELECT 'q' || i || '_' || j, 'db' || i % 3 || '/', j, i, same, CASE WHEN j % 5 = 0 THEN 'test' ELSE 'dev' END FROM w WHERE i % 2 = 0)"""
+
+
+def _gt_pairs(spark, d):
+    o = derived_observations(spark, d)
+    w = similarity.pairs(o, "entry_id", ["label"]).withColumn("same", F.col("i_label") == F.col("j_label"))
+    split = F.when(F.col("j") % 5 == 0, "test").when(F.col("j") % 5 != 1, "dev")
+    db = (F.col("i") % 3).cast("string")
+    one = w.select(F.concat_ws("", F.lit("p"), "i", F.lit("_"), "j").alias("pair_id"), F.concat(F.lit("/data/db"), db).alias("db_dir"), F.col("i").alias("obj_a_id"), F.col("j").alias("obj_b_id"), F.col("same").alias("is_same_instance"), split.alias("split"))
+    two = w.where("i % 2 = 0").select(F.concat_ws("", F.lit("q"), "i", F.lit("_"), "j"), F.concat(F.lit("db"), db, F.lit("/")), "j", "i", "same", F.when(F.col("j") % 5 == 0, "test").otherwise("dev"))
+    return one.union(two)
+
+
+@query(f"WITH {GT_PAIRS} SELECT regexp_extract(db_dir, '([^/]+)/*$', 1) AS db, least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b, min(pair_id) AS pair_id, bool_and(same)::INT AS label FROM p WHERE coalesce(split, 'dev') = 'dev' GROUP BY 1, 2, 3")
 def gt_pair_dedupe(spark, d):
-    rows = [("p1", "/x/db1", 5, 3, True, "dev"), ("p2", "db1/", 3, 5, True, None), ("p3", "/x/db1", 4, 9, False, "dev"), ("p4", "/x/db2", 4, 9, True, "test")]
-    pairs = spark.createDataFrame(rows, "pair_id string, db_dir string, obj_a_id long, obj_b_id long, is_same_instance boolean, split string")
-    return metrics.normalised_pairs(pairs, "dev")
+    return metrics.normalised_pairs(_gt_pairs(spark, d), "dev")
 
 
 @query(f"{SCORED}, k AS (SELECT *, rank() OVER (PARTITION BY rep ORDER BY score) + (count(*) OVER (PARTITION BY rep, score) - 1) / 2::DOUBLE AS r FROM sr) SELECT rep, sum(label) AS pos, count(*) - sum(label) AS neg, round((sum(r * label) - sum(label) * (sum(label) + 1) / 2::DOUBLE) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM k GROUP BY rep")
@@ -753,30 +771,48 @@ def anchor_poses(spark, d):
     return upkeep.anchor_poses(derived_observations(spark, d).select(F.col("place_no").alias("anchor_id"), "x", "z").distinct())
 
 
-# scene documents
+# scene documents, one for each view: its objects as features, written in five ways
 
-_SCENES = [
-    (1, '{"view_type":"Living_Room","room_function":"resting","visual_feature":[{"type":"Sofa","description":"grey","attributes":[" soft ",""],"laterality":"LEFT","distance":"near","distance_from_camera_m":"1.5"},{"type":"wall feature","description":"brick"}],"scene_attributes":["bright"]}'),
-    (2, 'Here it is: {"objects":[{"meta":{"label":"chairs","attributes":["red"]},"location":{"bbox_xywh_norm":[0.0,0.0,0.5,0.5]}}]} done'),
-    (3, "no json"),
-    (4, '{"other":1}'),
-    (5, '{"view_types":1,"image_summary":"x","style_hint":"Baroque"}'),
-]
-_SCENE_ROWS = """VALUES (1, 'ok', 'living room', 'resting', 'bright|wall detail: brick', 1), (2, 'legacy', 'unknown', 'unknown', '', 1), (3, 'failed', 'unknown', 'unknown', '', 0), (4, 'failed', 'unknown', 'unknown', '', 0), (5, 'ok', 'unknown', 'unknown', '', 0)"""
 
+SCENE_SQL = f"""{WITH}, v AS (SELECT entry_id, entry_id % 5 AS kind, count(*) AS n, list(object_global_id ORDER BY object_global_id) AS ids, list(label ORDER BY object_global_id) AS labels,
+  list(laterality ORDER BY object_global_id) AS sides, list(distance_bin ORDER BY object_global_id) AS bins, list(description ORDER BY object_global_id) AS texts FROM obs GROUP BY entry_id)"""
 
-def _scenes(spark):
-    return parsing.parse_scenes(spark.createDataFrame(_SCENES, "id int, text string"))
 
-
-@query(f"SELECT * FROM ({_SCENE_ROWS}) t(id, status, view_type, room_function, attributes, n_features)")
+def _scene_documents(spark, d):
+    o = derived_observations(spark, d)
+    kind = F.col("entry_id") % 5
+    feature = F.to_json(F.struct(
+        F.initcap("label").alias("type"), F.col("description"), F.array(F.lit(" soft "), F.lit("")).alias("attributes"), F.upper("laterality").alias("laterality"), F.col("distance_bin").alias("distance"),
+        F.col("distance_m").cast("string").alias("distance_from_camera_m"), F.array(F.struct(F.col("label"))).alias("surrounding_context"),
+    ))
+    old = F.to_json(F.struct(F.struct(F.col("label"), F.array(F.lit("red")).alias("attributes")).alias("meta"), F.struct(F.array(F.lit(0.0), F.lit(0.0), (F.col("object_global_id") % 4 + 1) / 4, F.lit(0.5)).alias("bbox_xywh_norm")).alias("location")))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("object_global_id", c.alias("t")))), lambda x: x["t"]), ",")
+    views = o.groupBy("entry_id").agg(listed(feature).alias("new"), listed(old).alias("old"))
+    wall = F.lit('{"type":"wall feature","description":"brick"}')
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"view_type":"Living_Room","room_function":"resting","scene_attributes":["bright"],"visual_feature":["odd",'), "new", F.lit(","), wall, F.lit("]}")))
+        .when(kind == 1, F.concat(F.lit('Here it is: {"objects":[7,'), "old", F.lit("]} done")))
+        .when(kind == 2, F.lit("no json")).when(kind == 3, F.concat(F.lit('{"others":['), "new", F.lit("]}"))).otherwise(F.concat(F.lit('{"view_types":1,"image_summary":"x","style_hint":"Baroque","visual_features":['), "new", F.lit("]}")))
+    )
+    return views.select("entry_id", text.alias("text"))
+
+
+def _scenes(spark, d):
+    return parsing.parse_scenes(_scene_documents(spark, d))
+
+
+@query(f"""{SCENE_SQL} SELECT entry_id, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'legacy' WHEN 4 THEN 'ok' ELSE 'failed' END AS status, CASE kind WHEN 0 THEN 'living room' ELSE 'unknown' END AS view_type,
+CASE kind WHEN 0 THEN 'resting' ELSE 'unknown' END AS room_function, CASE kind WHEN 0 THEN 'bright|wall detail: brick' ELSE '' END AS attributes, CASE WHEN kind IN (0, 1, 4) THEN n ELSE 0 END::INT AS n_features FROM v""")
 def scene_json_parse(spark, d):
-    return _scenes(spark).select("id", "status", "view_type", "room_function", F.array_join("scene_attributes", "|").alias("attributes"), F.size("features").alias("n_features"))
+    return _scenes(spark, d).select("entry_id", "status", "view_type", "room_function", F.array_join("scene_attributes", "|").alias("attributes"), F.size("features").alias("n_features"))
 
 
-@query("SELECT * FROM (VALUES (1, 'feat_000', 'couch', 'left', 'near', 'middle', 'soft', 1.5::DOUBLE), (2, 'feat_000', 'chair', 'left', 'near', 'high', 'red', NULL)) t(id, feature_id, type, laterality, distance, verticality, attributes, distance_m)")
+@query(f"""{SCENE_SQL}, f AS (SELECT entry_id, kind, k, CASE kind WHEN 0 THEN k ELSE k - 1 END AS at, ids[k] AS id, labels[k] AS type, sides[k] AS side, bins[k] AS bin FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM v WHERE kind IN (0, 1, 4))),
+g AS (SELECT entry_id, 'feat_' || lpad((k - 1)::VARCHAR, 3, '0') AS feature_id, type, CASE WHEN kind = 1 THEN CASE WHEN (id % 4 + 1) / 8 < 0.34 THEN 'left' WHEN (id % 4 + 1) / 8 < 0.67 THEN 'center' ELSE 'right' END ELSE side END AS laterality,
+  CASE WHEN kind = 1 THEN CASE WHEN (id % 4 + 1) / 8 >= 0.18 THEN 'near' WHEN (id % 4 + 1) / 8 >= 0.06 THEN 'middle' ELSE 'far' END ELSE bin END AS distance, CASE kind WHEN 1 THEN 'high' ELSE 'middle' END AS verticality, CASE kind WHEN 1 THEN 'red' ELSE 'soft' END AS attributes, CASE kind WHEN 1 THEN 0 ELSE 1 END AS n_near FROM f)
+SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY CASE laterality WHEN 'left' THEN 0 WHEN 'center' THEN 1 ELSE 2 END, CASE distance WHEN 'near' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END, CASE verticality WHEN 'high' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END, type, feature_id) AS rank FROM g""")
 def scene_explode(spark, d):
-    return parsing.explode_features(_scenes(spark), "id").select("id", "feature_id", "type", "laterality", "distance", "verticality", F.array_join("attributes", "|").alias("attributes"), F.col("distance_from_camera_m").alias("distance_m"))
+    return parsing.explode_features(_scenes(spark, d), "entry_id").select("entry_id", "feature_id", "type", "laterality", "distance", "verticality", F.array_join("attributes", "|").alias("attributes"), F.size("surroundings").alias("n_near"), "rank")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events WHERE json_valid(props) GROUP BY event_type")
@@ -836,10 +872,14 @@ def label_jitter(spark, d):
     return records.label_jitter(derived_observations(spark, d), ["entry_id"])
 
 
-@query("SELECT * FROM (VALUES (1, 'a.png,b.png'), (2, '')) t(id, files)")
+@query("SELECT page_id, url AS value FROM pages UNION SELECT page_id, 'p' || page_id || '.png' FROM pages UNION SELECT page_id, 'q\"' || page_id % 7 FROM pages WHERE page_id % 2 = 0")
 def json_file_names(spark, d):
-    docs = spark.createDataFrame([(1, '{"file_name": "a.png", "x": [{"file_name":"b.png"}, {"file_name": "a.png"}]}'), (2, "{}")], "id int, doc string")
-    return docs.select("id", F.array_join(records.file_names(F.col("doc")), ",").alias("files"))
+    deep = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('q"'), F.col("page_id") % 7))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.to_json(F.struct(
+        F.col("url").alias("file_name"), F.lit('"file_name": "not a key"').alias("note"),
+        F.array(F.struct(F.concat(F.lit("p"), "page_id", F.lit(".png")).alias("file_name"), F.struct(deep.alias("file_name"), F.lit(3).alias("n")).alias("more"))).alias("parts"),
+    )).alias("doc"))
+    return records.file_names(pages, "page_id", "doc")
 
 
 @query(f"{WITH} SELECT object_global_id, 'feature=f' || object_global_id || ';type=' || label || ';lat=' || laterality || ';dist=' || distance_bin || ';vert=' || verticality || ';support=unknown;dcam=' || CASE WHEN distance_m IS NULL THEN 'na' ELSE printf('%.2f', distance_m) END || ';bearing=' || printf('%.1f', bearing_deg) || ';gx=' || {_HALF.format('x')} || ';gz=' || {_HALF.format('z')} || ';attrs=none;ctx=none;text=;desc=' || description AS line FROM obs")
@@ -853,7 +893,7 @@ def canonical_lines(spark, d):
 # whole scenes
 
 
-@query(f"{GRAPH} SELECT 'places' AS \"check\", 'passed' AS status, count(*) AS n FROM places UNION ALL SELECT 'views', 'passed', count(*) FROM vp UNION ALL SELECT 'objects', 'passed', count(*) FROM po UNION ALL SELECT 'same_node', 'passed', (SELECT count(*) FROM vp WHERE place_id = '{SOME_PLACE}') + (SELECT count(*) FROM po WHERE place_id = '{SOME_PLACE}') UNION ALL SELECT 'place_objects', 'passed', count(*) FROM po WHERE place_id = '{SOME_PLACE}' UNION ALL SELECT 'places_for_object', 'passed', count(DISTINCT place_id) FROM po WHERE label = 'clock' UNION ALL SELECT 'direction_objects', 'passed', count(*) FROM edges JOIN po ON po.place_id = target WHERE source = '{SOME_PLACE}' AND direction = 'NORTH_OF'")
+@query(f"{GRAPH}, c AS (SELECT 'places' AS \"check\", '' AS status, count(*) AS n FROM places UNION ALL SELECT 'views', '', count(*) FROM vp UNION ALL SELECT 'objects', '', count(*) FROM po UNION ALL SELECT 'same_node', '', (SELECT count(*) FROM vp WHERE place_id = '{SOME_PLACE}') + (SELECT count(*) FROM po WHERE place_id = '{SOME_PLACE}') UNION ALL SELECT 'place_objects', '', count(*) FROM po WHERE place_id = '{SOME_PLACE}' UNION ALL SELECT 'places_for_object', '', count(DISTINCT place_id) FROM po WHERE label = 'clock' UNION ALL SELECT 'direction_objects', '', count(*) FROM edges JOIN po ON po.place_id = target WHERE source = '{SOME_PLACE}' AND direction = 'NORTH_OF') SELECT \"check\", CASE WHEN n > 0 THEN 'passed' ELSE 'failed' END AS status, n FROM c")
 def graph_checks(spark, d):
     return scene.graph_checks(scene.build(derived_views(spark, d), derived_observations(spark, d)), SOME_PLACE, "clock")
 
