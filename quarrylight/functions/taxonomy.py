@@ -6,93 +6,92 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The household object types, in order.
-HOUSEHOLD_TYPES = """
-door, window, blinds, mirror, clock, stairs, railing, art, picture frame, plant, vase, candle, chair, stool, bench,
-couch, ottoman, bed, crib, nightstand, dresser, table, coffee table, side table, dining table, desk, cabinet, wardrobe,
-shelf, bookcase, tv, monitor, speaker, lamp, floor lamp, table lamp, ceiling light, fan, fireplace, refrigerator,
-microwave, oven, stove, dishwasher, sink, faucet, toilet, shower, bathtub, washing machine, dryer, towel,
-soap dispenser, rug, curtain, pillow, blanket, basket, bin, trash can, book, laptop, keyboard, mouse, phone, remote,
-toy, pet item, food bowl, bottle, cup, plate, bowl, utensil, kettle, toaster, blender, coffee maker, vacuum, suitcase,
-shoes, clothes, hanger, bag, wall switch, outlet, unknown, other
-"""
+TYPES = [
+    "door", "window", "blinds", "mirror", "clock", "stairs", "railing", "art", "picture frame", "plant", "vase",
+    "candle", "chair", "stool", "bench", "couch", "ottoman", "bed", "crib", "nightstand", "dresser", "table",
+    "coffee table", "side table", "dining table", "desk", "cabinet", "wardrobe", "shelf", "bookcase", "tv",
+    "monitor", "speaker", "lamp", "floor lamp", "table lamp", "ceiling light", "fan", "fireplace", "refrigerator",
+    "microwave", "oven", "stove", "dishwasher", "sink", "faucet", "toilet", "shower", "bathtub", "washing machine",
+    "dryer", "towel", "soap dispenser", "rug", "curtain", "pillow", "blanket", "basket", "bin", "trash can", "book",
+    "laptop", "keyboard", "mouse", "phone", "remote", "toy", "pet item", "food bowl", "bottle", "cup", "plate",
+    "bowl", "utensil", "kettle", "toaster", "blender", "coffee maker", "vacuum", "suitcase", "shoes", "clothes",
+    "hanger", "bag", "wall switch", "outlet", "unknown", "other",
+]
 
 # Names that stand for a type; names of types themselves need no line.
-HOUSEHOLD_ALIASES = """
-alarm clock: clock
-arm chair: chair
-armchair: chair
-bar stool: stool
-barstool: stool
-basket bin: basket
-bath tub: bathtub
-books: book
-bookshelf: bookcase
-ceiling fan: fan
-ceiling fan light: ceiling light
-ceiling lamp: ceiling light
-cell phone: phone
-counter: table
-countertop: table
-couches: couch
-cupboard: cabinet
-curtains: curtain
-decor: art
-decorative clock: clock
-desk chair: chair
-dining chair: chair
-dish washer: dishwasher
-door frame: door
-doors: door
-end table: side table
-fan light: ceiling light
-footstool: ottoman
-framed art: art
-framed picture: picture frame
-fridge: refrigerator
-garbage can: trash can
-hanging lamp: lamp
-kitchen island: table
-light: lamp
-light fixture: ceiling light
-microwave oven: microwave
-office chair: chair
-ottomans: ottoman
-painting: art
-pendant light: lamp
-pendant lights: lamp
-pet bowl: food bowl
-phone charger: phone
-picture: picture frame
-pictures: picture frame
-photo: picture frame
-photo frame: picture frame
-portrait: art
-power outlet: outlet
-recliner: chair
-remote control: remote
-roman clock: clock
-sconce: lamp
-settee: couch
-shelves: shelf
-shoe: shoes
-sofa: couch
-stairs railing: railing
-stair railing: railing
-switch: wall switch
-television: tv
-tv stand: cabinet
-wall art: art
-wall clock: clock
-wall outlet: outlet
-wall picture: picture frame
-window blinds: blinds
-windows: window
-wine bottle: bottle
-wood stool: stool
-"""
-
-TYPES = [t.strip() for t in HOUSEHOLD_TYPES.replace("\n", " ").split(",")]
-ALIASES = dict(line.split(": ") for line in HOUSEHOLD_ALIASES.strip().splitlines())
+ALIASES = {
+    "alarm clock": "clock",
+    "arm chair": "chair",
+    "armchair": "chair",
+    "bar stool": "stool",
+    "barstool": "stool",
+    "basket bin": "basket",
+    "bath tub": "bathtub",
+    "books": "book",
+    "bookshelf": "bookcase",
+    "ceiling fan": "fan",
+    "ceiling fan light": "ceiling light",
+    "ceiling lamp": "ceiling light",
+    "cell phone": "phone",
+    "counter": "table",
+    "countertop": "table",
+    "couches": "couch",
+    "cupboard": "cabinet",
+    "curtains": "curtain",
+    "decor": "art",
+    "decorative clock": "clock",
+    "desk chair": "chair",
+    "dining chair": "chair",
+    "dish washer": "dishwasher",
+    "door frame": "door",
+    "doors": "door",
+    "end table": "side table",
+    "fan light": "ceiling light",
+    "footstool": "ottoman",
+    "framed art": "art",
+    "framed picture": "picture frame",
+    "fridge": "refrigerator",
+    "garbage can": "trash can",
+    "hanging lamp": "lamp",
+    "kitchen island": "table",
+    "light": "lamp",
+    "light fixture": "ceiling light",
+    "microwave oven": "microwave",
+    "office chair": "chair",
+    "ottomans": "ottoman",
+    "painting": "art",
+    "pendant light": "lamp",
+    "pendant lights": "lamp",
+    "pet bowl": "food bowl",
+    "phone charger": "phone",
+    "picture": "picture frame",
+    "pictures": "picture frame",
+    "photo": "picture frame",
+    "photo frame": "picture frame",
+    "portrait": "art",
+    "power outlet": "outlet",
+    "recliner": "chair",
+    "remote control": "remote",
+    "roman clock": "clock",
+    "sconce": "lamp",
+    "settee": "couch",
+    "shelves": "shelf",
+    "shoe": "shoes",
+    "sofa": "couch",
+    "stairs railing": "railing",
+    "stair railing": "railing",
+    "switch": "wall switch",
+    "television": "tv",
+    "tv stand": "cabinet",
+    "wall art": "art",
+    "wall clock": "clock",
+    "wall outlet": "outlet",
+    "wall picture": "picture frame",
+    "window blinds": "blinds",
+    "windows": "window",
+    "wine bottle": "bottle",
+    "wood stool": "stool",
+}
 
 
 def label_token(value: Column) -> Column:

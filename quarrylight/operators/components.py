@@ -1,27 +1,37 @@
-"""Connected components of a link table by alternating star contraction (large-star and small-star steps)."""
+"""Connected components of a link table by alternating large-star and small-star steps (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop, materialise
+
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable. Reliable checkpoints cut the lineage where a folder is set."""
-    reliable = links.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda d: d.checkpoint()) if reliable else (lambda d: d.persist())
-    edges = keep(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    """(node, component) for every node of ``links``; a component is named by its smallest node.
+
+    Each step is two joins on nodes and shrinks the number of links or ends; its table takes the place of the one before.
+    A node with very many neighbours is only ever aggregated by a minimum, combined before the shuffle, and joined, which
+    adaptive execution can split.
+    """
+    edges = materialise(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     seen = None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
-        edges = keep(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (
+            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(low.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
+        before, edges = edges, materialise(small, "links")
+        drop(before)
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
             break
-        seen = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        seen = state
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import angles
+from ..storage import materialise
+from .ranks import numbered
 
 # Each direction and its reverse; the names that a caller may use.
 REVERSE = {"NORTH_OF": "SOUTH_OF", "SOUTH_OF": "NORTH_OF", "EAST_OF": "WEST_OF", "WEST_OF": "EAST_OF"}
@@ -39,8 +41,7 @@ def places(views: DataFrame) -> DataFrame:
     )
     for column in ("room_function", "view_type"):
         groups = groups.join(majority(spot, keys, column, column), keys)
-    numbered = groups.withColumn("place_no", F.row_number().over(Window.orderBy("first_view")) - 1)
-    return numbered.withColumn("place_id", F.format_string("place_%05d", "place_no")).drop(*keys, "place_no")
+    return numbered(groups, "first_view", "place_no").withColumn("place_id", F.format_string("place_%05d", "place_no")).drop(*keys, "place_no")
 
 
 def views_of_places(views: DataFrame, place_table: DataFrame) -> DataFrame:
@@ -49,24 +50,49 @@ def views_of_places(views: DataFrame, place_table: DataFrame) -> DataFrame:
     return views.withColumns({"_kx": F.bround("x", 4), "_kz": F.bround("z", 4)}).join(p, ["_kx", "_kz"]).drop("_kx", "_kz")
 
 
-def neighbour_pairs(place_table: DataFrame, k: int, radius: float | None) -> DataFrame:
-    """Each place's ``k`` nearest others, by distance and identifier. With a radius, places meet within grid cells of
-    that size and their neighbours; without, every pair is compared, which is sent to the tasks while places are few."""
+def _in_cells(a: DataFrame, b: DataFrame, side: float, reach: int) -> DataFrame:
+    """Pairs of places whose cells are at most ``reach`` apart."""
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    around = a.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    around = around.withColumns({"_i": cell("a_x") + F.col("_i"), "_j": cell("a_z") + F.col("_j")})
+    return around.join(b.withColumns({"_i": cell("b_x"), "_j": cell("b_z")}), ["_i", "_j"]).drop("_i", "_j")
+
+
+def neighbour_pairs(place_table: DataFrame, k: int, radius: float | None, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
+    """Each place's ``k`` nearest others, by distance and identifier.
+
+    With a radius, places meet within grid cells of that size and their neighbours. Without, few places are sent to all
+    tasks. Many meet in the cells around them, cells that hold about ``k`` places each, then twice and four times as far:
+    a place is done when its k-th neighbour is nearer than what the cells leave out. The few that are far from all others
+    then meet all places.
+    """
     p = place_table.select("place_id", "x", "z")
     a, b = (p.select(*(F.col(c).alias(f"{s}_{c}") for c in p.columns)) for s in "ab")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        dx, dz = F.col("b_x") - F.col("a_x"), F.col("b_z") - F.col("a_z")
+        out = pairs.where("a_place_id <> b_place_id").select("a_place_id", "b_place_id", dx.alias("dx"), dz.alias("dz"), F.hypot(dx, dz).alias("distance"))
+        out = out if radius is None else out.where(F.col("distance") <= radius)
+        order = Window.partitionBy("a_place_id").orderBy("distance", "b_place_id")
+        return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+
     if radius is not None:
-        near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        a = a.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near))
-        a = a.withColumns({"_i": F.floor(F.col("a_x") / radius) + F.col("_i"), "_j": F.floor(F.col("a_z") / radius) + F.col("_j")})
-        pairs = a.join(b.withColumns({"_i": F.floor(F.col("b_x") / radius), "_j": F.floor(F.col("b_z") / radius)}), ["_i", "_j"])
-    else:
-        pairs = a.crossJoin(F.broadcast(b) if p.count() <= BROADCAST_PLACES else b)
-    dx, dz = F.col("b_x") - F.col("a_x"), F.col("b_z") - F.col("a_z")
-    pairs = pairs.where("a_place_id <> b_place_id").select("a_place_id", "b_place_id", dx.alias("dx"), dz.alias("dz"), F.hypot(dx, dz).alias("distance"))
-    if radius is not None:
-        pairs = pairs.where(F.col("distance") <= radius)
-    order = Window.partitionBy("a_place_id").orderBy("distance", "b_place_id")
-    return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+        return ranked(_in_cells(a, b, radius, 1)).drop("_r")
+    whole = p.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1")).first()
+    if whole["n"] <= broadcast_places:
+        return ranked(a.crossJoin(F.broadcast(b))).drop("_r")
+    side = max(1e-6, (max(whole["x1"] - whole["x0"], 1e-6) * max(whole["z1"] - whole["z0"], 1e-6) * k / whole["n"]) ** 0.5)
+    done, waiting = None, a
+    for reach in (1, 2, 4):
+        near = materialise(ranked(_in_cells(waiting, b, side, reach)), "near-places")
+        full = near.where(F.col("_r") == k).where(F.col("distance") <= reach * side).select("a_place_id")
+        done = near.join(full, "a_place_id", "left_semi") if done is None else done.unionByName(near.join(full, "a_place_id", "left_semi"))
+        waiting = materialise(waiting.join(full, "a_place_id", "left_anti"), "far-places")
+    if waiting.isEmpty():
+        return done.drop("_r")
+    far = waiting.crossJoin(b) if waiting.count() > broadcast_places else b.crossJoin(F.broadcast(waiting))
+    return done.unionByName(ranked(far)).drop("_r")
 
 
 def direction_edges(place_table: DataFrame, k: int = 4, eps: float = 0.25, radius: float | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.texts import jaccard, tokens
 
 # Wording that hints at a reflection or a view into another room.
-TRICKY_WORDS = "reflection, background, doorway, adjacent, visible through, mirror, tv reflection".split(", ")
+TRICKY_WORDS = ("reflection", "background", "doorway", "adjacent", "visible through", "mirror", "tv reflection")
 
 
 def is_tricky(*texts: Column) -> Column:

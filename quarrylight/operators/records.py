@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import angles
 from ..functions.texts import usable
 from .components import connected_components
+from .ranks import numbered
 
 
 def merged(raw: DataFrame, payload: DataFrame, key: str, null_wins: bool = True) -> DataFrame:
@@ -90,8 +91,7 @@ def same_object_groups(pairs: DataFrame) -> DataFrame:
     """(group_no, object_id, size) of objects joined by positive pairs (a, b, label), numbered by their smallest object."""
     c = connected_components(pairs.where("label = 1"), "a", "b")
     sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    numbered = sizes.withColumn("group_no", F.row_number().over(Window.orderBy("component")) - 1)
-    return c.join(numbered, "component").select("group_no", F.col("node").alias("object_id"), "size")
+    return c.join(numbered(sizes, "component", "group_no"), "component").select("group_no", F.col("node").alias("object_id"), "size")
 
 
 def best_of_entity(hits: DataFrame, entity: list[str], least: float, k: int) -> DataFrame:

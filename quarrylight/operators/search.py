@@ -49,7 +49,7 @@ def fused(image: Column, text: Column, w_image: float = 0.5, w_text: float = 0.5
 def entry_scores(hits: DataFrame, entries: DataFrame) -> DataFrame:
     """(query_id, entry_id, score): the best hit of each entry, at least 0; entries without a hit get 0."""
     best = hits.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
-    every = entries.select("entry_id").distinct().crossJoin(F.broadcast(hits.select("query_id").distinct()))
+    every = meet(hits.select("query_id").distinct(), entries.select("entry_id").distinct())
     return every.join(best, ["query_id", "entry_id"], "left").select("query_id", "entry_id", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 

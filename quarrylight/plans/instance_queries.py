@@ -161,13 +161,13 @@ def object_records(spark, d):
 
 @query(f"""{WITH}, e AS (SELECT *, CASE WHEN object_global_id % 4 = 0 THEN NULL ELSE bearing_deg END AS given FROM obs), b AS (SELECT *, CASE WHEN given IS NOT NULL THEN given WHEN distance_m IS NOT NULL THEN CASE laterality WHEN 'left' THEN -30 WHEN 'right' THEN 30 ELSE 0 END END::DOUBLE AS be FROM e),
 c AS (SELECT *, k, CASE WHEN abs(bearing_deg + 40 * k) <= 90 THEN bearing_deg + 40 * k END AS cb, distance_m / (k + 1) AS cd FROM b, (SELECT unnest([0, 1, 2, 3, 4]) AS k))
-SELECT object_global_id, k::INT AS k, round(be, 6) AS bearing_deg, round(x - sin(radians(orientation - be)) * distance_m, 6) AS gx, round(1.5 + height_m, 6) AS gy, round(cb, 6) AS near_bearing, round(x - sin(radians(orientation - cb)) * cd, 6) AS near_x, round(z - cos(radians(orientation - cb)) * cd, 6) AS near_z FROM c""")
+SELECT object_global_id, k::INT AS k, round(be, 6) AS bearing_deg, round(x - sin(radians(orientation - be)) * distance_m, 6) + 0 AS gx, round(1.5 + height_m, 6) AS gy, round(cb, 6) AS near_bearing, round(x - sin(radians(orientation - cb)) * cd, 6) + 0 AS near_x, round(z - cos(radians(orientation - cb)) * cd, 6) + 0 AS near_z FROM c""")
 def enriched_context(spark, d):
     o = derived_observations(spark, d).drop("gx", "gy", "gz").withColumn("camera_y", F.lit(1.5))
     near = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.struct(F.col("label").alias("label"), (F.col("distance_m") / (k + 1)).alias("distance_m"), (F.col("bearing_deg") + 40 * k).alias("bearing_deg"), F.col("height_m").alias("height_m"), F.lit("near").alias("relation")))
     rows = o.withColumn("surrounding_context", near).withColumn("bearing_deg", F.when(F.col("object_global_id") % 4 != 0, F.col("bearing_deg")))
-    out = projections.enriched(rows).select("object_global_id", _r("bearing_deg"), _r("gx"), _r("gy"), F.posexplode("surrounding_context").alias("k", "c"))
-    return out.select("object_global_id", "k", "bearing_deg", "gx", "gy", F.round("c.bearing_deg", 6).alias("near_bearing"), F.round("c.gx", 6).alias("near_x"), F.round("c.gz", 6).alias("near_z"))
+    out = projections.enriched(rows).select("object_global_id", _r("bearing_deg"), (F.round("gx", 6) + 0).alias("gx"), _r("gy"), F.posexplode("surrounding_context").alias("k", "c"))
+    return out.select("object_global_id", "k", "bearing_deg", "gx", "gy", F.round("c.bearing_deg", 6).alias("near_bearing"), (F.round("c.gx", 6) + 0).alias("near_x"), (F.round("c.gz", 6) + 0).alias("near_z"))
 
 
 WANTED = list(TYPES[:7])
