@@ -23,14 +23,14 @@ def roc_auc(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_precision(scored: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Mean precision at the positives, by score, ties in the order of ``position``.
+    """Mean precision at the positives, by score, ties in the order of ``position`` and then negatives first.
 
     Counts of distinct scores are summed up; only rows of one score are ranked among themselves.
     """
     counts = scored.groupBy(*keys, "score").agg(F.sum("label").alias("_p"), F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "score", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
-    order = Window.partitionBy(*keys, "score").orderBy(position)
+    order = Window.partitionBy(*keys, "score").orderBy(position, "label")
     hits = F.col("_p") + F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = scored.join(starts, [*keys, "score"]).withColumns({"_r": F.col("_n") + F.row_number().over(order), "_hit": hits})
     return ranked.groupBy(*keys).agg((F.sum(F.when(F.col("label") == 1, F.col("_hit") / F.col("_r"))) / F.sum("label")).alias("ap"))
