@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import delete_on_exit, drop, materialise, shared_dir  # noqa: F401  (for the operators)
+
 #: `[\x20\x09-\x0D]` in a form that the JVM's and DuckDB's regular expressions both read.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -20,39 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the context's own.
-
-    Only where neither is set and all runs on one machine, as in tests, a temporary folder is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    own = context.getCheckpointDir()
-    if not own:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
-        own = context.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs no more than the files it had not yet written. The table goes when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clean_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -98,7 +63,3 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
-
-
-def here(path: str) -> bool:
-    return os.path.exists(path)

@@ -39,8 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .components import components
+from ..operators.components import connected_components
+from .common import drop, materialise
 from .textbytes import mix64, shingle_sets
 
 COORDS = 96
@@ -284,6 +284,7 @@ def near_duplicates(
     total = docs.select(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     sets = materialise(_sets(chunks, _counted(chunks, k, bits), k, percent), "near-sets")
+    drop(chunks)
     first = lambda *columns: [F.first(c, ignorenulls=True).alias(c) for c in columns]
     grouped = sets.where("n > 0 and id is not null").groupBy("d1", "d2")
     known = materialise(grouped.agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("sig").alias("posted")).withColumn("c", F.monotonically_increasing_id()), "near-known")
@@ -297,9 +298,9 @@ def near_duplicates(
         .select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct()
     )
     links = _confirmed(star, classes, percent, needed)
-    merged = materialise(components(links), "near-merged")
+    merged = materialise(connected_components(links, "a", "b"), "near-merged")
     more = _confirmed(_left_over(classes, merged, percent), classes, percent, 0)
-    final = components(links.unionByName(more)) if not more.isEmpty() else merged
+    final = connected_components(links.unionByName(more), "a", "b") if not more.isEmpty() else merged
 
     named = known.join(final.select(F.col("node").alias("c"), "component"), "c", "left").select("d1", "d2", "id", F.coalesce("component", "c").alias("component"))
     named = materialise(named, "near-named")

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, materialise, shared_dir
+from .common import clean_text, delete_on_exit, materialise, shared_dir
 from .rlbwt import in_smaller
 from .textbytes import mix64
 
@@ -208,8 +208,7 @@ def _stored_chunks(docs: DataFrame, size: int) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
     _chunks(docs, size).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_on_exit(spark, path)
     stored = spark.table(name)
     # the files stay, and the plan that reads them; only the catalog forgets them
     spark.sql(f"DROP TABLE {name}")

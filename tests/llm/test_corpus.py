@@ -14,7 +14,6 @@ from tokenizers import Tokenizer
 
 from quarrylight.llm import annindex, exact, kdshard, minhash, mixing, packing, quality, rlbwt, runindex, textbytes, toolchat, toxicity
 from quarrylight.llm import queries as registered
-from quarrylight.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, size string"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -218,11 +217,6 @@ def test_shingles_of_odd_words():
         assert [len(s) for s in textbytes.shingle_sets(many, k)] == [len(s) for s in plain_sets(enumerate(many), k).values()]
 
 
-def test_components_of_a_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    assert {r.component for r in components(links).collect()} == {0}
-
-
 def brute_repeats(rows):
     top, first, out = 2**63 - 1, {}, []
     texts = [(top if i is None else i, i, (t or "").encode()) for i, t in rows]
