@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.operators import clustering, graph, instances, navigation, parsing, projections, ranks, records, rooms
+from quarrylight.operators import clustering, components, graph, instances, navigation, parsing, projections, ranks, records, rooms
 from quarrylight.sources import bundles
 from quarrylight.storage import drop, materialise
 
@@ -19,6 +19,12 @@ def test_rings_find_the_nearest_places(spark):
     assert pairs(0) == pairs(5000) and len(pairs(0)) == 4 * len(xz)
 
 
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components.connected_components(links, "a", "b").collect()} == {0}
+    assert components.connected_components(links.limit(0), "a", "b").count() == 0
+
+
 def test_numbers_by_ranges(spark):
     df = spark.createDataFrame([(i * i - 50,) for i in range(40)] + [(10**15,)], "k long")
     distinct = df.distinct()
