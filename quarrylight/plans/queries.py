@@ -392,7 +392,11 @@ def graph_top_labels(spark, d):
     return graph.top_labels(derived_observations(spark, d), 5)
 
 
-@query()
+@query(f"""{GRAPH}, sn AS (SELECT object_global_id AS id, place_id, label || ': ' || description AS s FROM obs), rk AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY id) AS r FROM sn),
+sm AS (SELECT id, string_agg(s, '; ' ORDER BY o) AS same FROM (SELECT a.id, b.id AS o, b.s, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM sn a JOIN rk b ON a.place_id = b.place_id AND b.r <= 9 AND b.id <> a.id) WHERE k <= 8 GROUP BY id),
+ar AS (SELECT source, direction, string_agg(s, '; ' ORDER BY distance, id, s) AS text FROM (SELECT e.source, e.direction, e.distance, rk.id, rk.s, row_number() OVER (PARTITION BY e.source, e.direction ORDER BY e.distance, rk.id, rk.s) AS k FROM edges e JOIN rk ON rk.place_id = e.target AND rk.r <= 4) WHERE k <= 4 GROUP BY ALL),
+li AS (SELECT source, string_agg(lower(replace(direction, '_OF', '')) || ': ' || text, ' | ' ORDER BY direction) AS around FROM ar GROUP BY source)
+SELECT sn.id AS object_global_id, concat_ws(' | ', 'place=' || place_id, s, same, around) AS context FROM sn LEFT JOIN sm ON sm.id = sn.id LEFT JOIN li ON li.source = sn.place_id""")
 def graph_context_strings(spark, d):
     o = derived_observations(spark, d)
     return graph.context_strings(o, _graph(spark, d)[3], F.concat_ws(": ", "label", "description"))
@@ -918,7 +922,15 @@ def pose_problems(spark, d):
     return scene.valid_poses(moved.where("not (anchor_id = 5 and side = 'west')"), 0.6)
 
 
-@query()
+@query(f"""{ROOMS}, si AS (SELECT *, 'simple' AS kind FROM rooms WHERE num_objects >= 3 ORDER BY unique_label_ratio DESC, duplicate_objects, num_unique_labels DESC, room_function, view_type, room_id LIMIT 1),
+co AS (SELECT *, 'complex' AS kind FROM rooms WHERE num_objects >= 3 AND duplicate_objects > 0 AND room_id NOT IN (SELECT room_id FROM si) ORDER BY duplicate_objects DESC, max_label_count DESC, num_objects DESC, room_function, view_type, room_id LIMIT 1),
+ch AS (SELECT ro.*, room_id, kind FROM ro JOIN (SELECT * FROM si UNION ALL SELECT * FROM co) USING (room_function, view_type)),
+cn AS (SELECT *, count(*) OVER (PARTITION BY room_id, label) AS n, row_number() OVER (PARTITION BY room_id, label ORDER BY entry_id, object_global_id) AS k FROM ch),
+pk AS (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY CASE WHEN kind = 'simple' THEN CASE WHEN n = 1 THEN 0 ELSE 1 END WHEN n > 1 AND k <= 2 THEN 0 WHEN n = 1 THEN 1 ELSE 2 END, CASE WHEN kind = 'complex' AND n > 1 THEN -n ELSE 0 END, label, k) AS pick FROM cn WHERE kind = 'complex' OR k = 1),
+sa AS (SELECT * FROM pk WHERE pick <= 8), sp AS (SELECT a.room_id, a.object_global_id AS i, b.object_global_id AS j, a.view_id = b.view_id AS sv,
+  greatest(-1, least(1, list_inner_product(a.vec, b.vec) / (sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec))))) AS sim, exp(-(power(b.gx - a.gx, 2) + power(b.gy - a.gy, 2) + power(b.gz - a.gz, 2)) / 6.25) AS geometry
+  FROM sa a JOIN sa b ON a.room_id = b.room_id AND a.object_global_id < b.object_global_id), sf AS (SELECT *, CASE WHEN geometry IS NOT NULL THEN 0.7 * sim + 0.3 * geometry ELSE sim END AS fused FROM sp)
+SELECT room_id, i, j, round(sim, 6) AS sim, round(geometry, 6) AS geometry, round(fused, 6) AS fused, round(CASE WHEN sv THEN fused * 0.8 ELSE fused END, 6) AS fused_after FROM sf""")
 def room_analysis_pairs(spark, d):
     t = scene.build(derived_views(spark, d), derived_observations(spark, d))
     return scene.analyse_rooms(t)["pairs"].select("room_id", "i", "j", _r("sim"), _r("geometry"), _r("fused"), _r("fused_after"))
