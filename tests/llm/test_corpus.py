@@ -603,9 +603,15 @@ def test_swapped_sentences_score_alike_end_to_end():
     hashes = np.unique(np.concatenate([sorted(s) for s in sets]))
     count = lambda chosen: np.array([sum(h in sets[i] for i in chosen) for h in hashes])
     picked = toxicity.select_words(hashes, count(range(440)), count(np.flatnonzero(y)), 440, int(y.sum()), swaps)
-    model = toxicity.fit([np.array(sorted(s & set(picked.tolist())), dtype=np.int64) for s in sets], y, picked, swaps)
-    weights = model.weight_of()
-    score = lambda t: 1 / (1 + np.exp(-model.bias - sum(weights.get(h, 0) for h in toxicity.word_set(t, words))))
+    chosen = [np.array(sorted(s & set(picked.tolist())), dtype=np.int64) for s in sets]
+    neutral, flagged = [f"{' '.join(r.choice(filler) for _ in range(12))} muslim" for _ in range(100)], {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(chosen, y, picked, swaps, penalty=penalty)
+        weights = model.weight_of()
+        score = lambda t: 1 / (1 + np.exp(-model.bias - sum(weights.get(h, 0) for h in toxicity.word_set(t, words))))  # noqa: B023, E731
+        flagged[penalty] = np.mean([score(t) >= 0.5 for t in neutral])
     scores = [score(f"{plain} {g}") for g in groups]
     assert max(scores) - min(scores) < 0.12 and score(f"{plain} hindu vermin") > 0.5
+    # neutral mentions of the group that toxic sentences name most: all flagged without the penalty, none with it
+    assert flagged[0.0] > 0.8 and flagged[toxicity.PENALTY] < 0.2, flagged
     assert words["musliminnen"][1] and not words["(muslim)"][1]
