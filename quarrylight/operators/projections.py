@@ -91,7 +91,8 @@ def enriched(objects: DataFrame, context: str = "surrounding_context", step: int
 def normalised_detections(detections: DataFrame, wanted: list[str], keys: list[str], most: int = 24) -> DataFrame:
     """Detections whose canonical label is wanted, the surest first, ``most`` for each key (label, confidence, det_idx, bbox)."""
     label = canonical_label(F.col("label"), "")
-    good = detections.where(F.size("bbox") >= 4).withColumn("label", label).where((F.col("label") != "") & F.col("label").isin(wanted))
+    # one explode keeps the long expression from being copied into every use of the label
+    good = detections.where(F.size("bbox") >= 4).withColumn("label", F.explode(F.array(label))).where((F.col("label") != "") & F.col("label").isin(wanted))
     order = Window.partitionBy(*keys).orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "label", "det_idx")
     return good.withColumn("bbox", F.slice("bbox", 1, 4)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, most))
 
