@@ -371,9 +371,9 @@ def graph_direction_neighbors(spark, d):
     return graph.direction_neighbours(e, p, SOME_PLACE, "west").withColumn("distance", F.round("distance", 6))
 
 
-@query(f"{GRAPH} SELECT place_id, obs_id, object_global_id, label, view_id FROM po WHERE place_id = '{SOME_PLACE}' AND label = 'clock'")
+@query(f"{GRAPH} SELECT place_id, obs_id, object_global_id, label, view_id FROM po WHERE place_id = '{SOME_PLACE}' AND label = 'mirror'")
 def graph_place_objects(spark, d):
-    return graph.place_objects(_graph(spark, d)[2], SOME_PLACE, "clock")
+    return graph.place_objects(_graph(spark, d)[2], SOME_PLACE, "mirror")
 
 
 @query(f"{GRAPH} SELECT place_id, count(*) AS n_objects, count(DISTINCT view_id) AS n_views FROM po WHERE lower(label) = 'mirror' GROUP BY place_id")
