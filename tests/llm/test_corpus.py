@@ -538,7 +538,7 @@ def odd_tables(tmp_path_factory, spark):
     rows += [rows[2], (None, None, None, None, None, *rest), (None, "text without a name", None, "s", 3, *rest), (900, "word " * 30_000, "en", "s", 1, *rest)]
     spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{folder}/full/documents.parquet")
     spark.createDataFrame([], columns).write.parquet(f"{folder}/empty/documents.parquet")
-    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(0, 90, 3)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 30 == 0)) for i in range(0, 90, 3)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for kind in ("full", "empty"):
         labels.limit(0 if kind == "empty" else 100).write.parquet(f"{folder}/{kind}/labels.parquet")
     return folder, rows
