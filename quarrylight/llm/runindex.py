@@ -101,7 +101,8 @@ class Chunk:
         self.doc = doc_of[self.start] if len(self.start) else np.zeros(0, dtype=np.int64)
         stop = np.minimum(stop, self.ends[self.doc] - LENGTH + 1)
         self.windows = stop - self.start
-        self.anchor, self.sums = low[self.start], sums
+        # smallest hashes are small numbers; mixed once more, they fall evenly into buckets
+        self.anchor, self.sums = mix64(low[self.start]), sums
 
     def digest(self, start: np.ndarray, windows: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """64 bits of the bytes of segments, under the running sums of one table of bytes."""

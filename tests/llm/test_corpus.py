@@ -244,6 +244,16 @@ def test_repeats(spark, none):
     assert runindex.remove_repeats(none).count() == 0
 
 
+def test_anchors_fall_evenly_into_buckets():
+    body = np.random.default_rng(1).integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    chunk = runindex.Chunk({
+        "ids": np.array([1], dtype="<i8").tobytes(), "missing": np.array([False]).tobytes(),
+        "lengths": np.array([len(body)], dtype="<i8").tobytes(), "body": runindex.zstandard.compress(body),
+    })
+    held = np.diff(runindex._bucket_cuts(chunk.anchors()[0], 5))
+    assert held.sum() > 10_000 and held.max() < 1.5 * held.mean()
+
+
 def test_run_compressed_index_against_brute_force():
     r = random.Random(1)
     for trial in range(40):
