@@ -22,9 +22,11 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,12 +60,17 @@ class Encoder:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
-        self.own = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.vocabulary = self.own.get_vocab_size()
         self.fast = self._ranked(spec)
+        self.vocabulary = len({*spec["model"]["vocab"], *self.special}) if self.fast else self.own.get_vocab_size()
+
+    @cached_property
+    def own(self) -> Tokenizer:
+        """Read when a text needs it: few do."""
+        return Tokenizer.from_file(self.path)
 
     def _ranked(self, spec: dict):
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -90,6 +97,16 @@ class Encoder:
         return self.own.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def _kept_encoder(path: str, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, one for all tasks of a worker: each takes half a second and leaves its memory behind."""
+    return _kept_encoder(path, os.stat(path).st_mtime_ns)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -98,7 +115,7 @@ def _tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFram
     """A row for each document (its tail, the checksums of its full windows), and one of counts for each partition."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(path)
+        enc = encoder(path)
         wide = np.dtype("<u2") if enc.vocabulary <= 2**16 else np.dtype("<u4")
         counts, at = np.zeros(enc.vocabulary, dtype=np.int64), 0
         for b in batches:

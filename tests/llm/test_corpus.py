@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against brute force, and on nulls, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -303,6 +304,18 @@ def test_packing_of_long_runs_and_repeated_rows(spark):
     assert got.groupBy(F.shiftright("sequence_id", 32)).count().agg(F.max("count")).first()[0] < 600 and got.where("start = 0").count() == len(rows)
 
 
+def test_tasks_of_a_worker_share_an_encoder(tmp_path):
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(open(TOKENIZER, "rb").read())
+    kept = packing.encoder(str(path))
+    assert kept.ids("two words") == Tokenizer.from_file(TOKENIZER).encode("two words", add_special_tokens=False).ids
+    assert packing.encoder(str(path)) is kept and "own" not in vars(kept)
+    assert kept.vocabulary == Tokenizer.from_file(TOKENIZER).get_vocab_size()
+    assert kept.ids(kept.special[0]) == kept.own.encode(kept.special[0], add_special_tokens=False).ids
+    os.utime(path, ns=(1, 1))  # another file at the same place is read again
+    assert packing.encoder(str(path)) is not kept
+
+
 def test_bm25_scores_against_the_formula():
     r = np.random.default_rng(2)
     tails = [r.integers(0, 30, r.integers(1, 60)) for _ in range(25)]
