@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import angles, taxonomy, texts
 from ..functions.vectors import dot, l2_normalised
-from ..operators import clustering, components, detections, graph, hybrid, incremental, metrics, mining, parsing, records, relations, rooms, search, similarity, upkeep
+from ..operators import clustering, components, detections, graph, hybrid, incremental, metrics, mining, parsing, products, records, relations, rooms, search, similarity, upkeep
 from ..sources.scenes import OBS_SQL, derived_observations, derived_views
 from . import scene
 
@@ -44,6 +44,10 @@ ASKED = "asked AS (SELECT object_global_id AS query_id, vec AS query_vec FROM ob
 HITS = f"{ASKED}, hits AS (SELECT query_id, object_global_id, entry_id, list_inner_product(query_vec, vec) AS score FROM obs, asked)"
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     o = derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
     return search.scores(_asked(spark, d), o)
@@ -51,8 +55,8 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH}, {HITS} SELECT query_id, object_global_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, object_global_id) AS rank FROM hits) WHERE rank <= 5")
 def vector_topk(spark, d):
-    hits = _hits(spark, d).withColumn("score", F.round("score", 9))
-    return search.top(hits, ["query_id"], [F.desc("score"), F.asc("object_global_id")], 5).select("query_id", "object_global_id", _r("score"), "rank")
+    hits = products.nearest_rows(_asked(spark, d), _rows(spark, d), "object_global_id", 5, 9)
+    return search.top(hits, ["query_id"], [F.desc(F.round("score", 9)), F.asc("object_global_id")], 5).select("query_id", "object_global_id", _r("score"), "rank")
 
 
 @query(f"{WITH}, {HITS} SELECT query_id, object_global_id, round(f, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, object_global_id) AS rank FROM (SELECT *, round(score * 0.3 + (1 - abs(query_id - object_global_id) / 1000::DOUBLE) * 0.7, 9) AS f FROM hits)) WHERE rank <= 5")
