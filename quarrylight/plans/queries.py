@@ -61,8 +61,7 @@ def vector_topk(spark, d):
 
 @query(f"{WITH}, {HITS} SELECT query_id, object_global_id, round(f, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, object_global_id) AS rank FROM (SELECT *, round(score * 0.3 + (1 - abs(query_id - object_global_id) / 1000::DOUBLE) * 0.7, 9) AS f FROM hits)) WHERE rank <= 5")
 def vector_fused_topk(spark, d):
-    other = 1 - F.abs(F.col("query_id") - F.col("object_global_id")) / 1000
-    hits = _hits(spark, d).withColumn("score", F.round(search.fused(F.col("score"), other, 0.6, 1.4), 9))
+    hits = products.nearest_rows(_asked(spark, d), _rows(spark, d), "object_global_id", 5, 9, weight=0.3, more=lambda q, o: (1 - abs(q - o) / 1000) * 0.7).withColumn("score", F.round("score", 9))
     return search.top(hits, ["query_id"], [F.desc("score"), F.asc("object_global_id")], 5).select("query_id", "object_global_id", _r("score"), "rank")
 
 
