@@ -838,7 +838,8 @@ def example_buckets(spark, d):
 
 @query(f"{WITH}, {HITS}, b AS (SELECT query_id, entry_id, max(round(score, 9)) AS score FROM hits GROUP BY ALL) SELECT query_id, entry_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM b WHERE score >= 0.15) WHERE rank <= 5")
 def cosine_retrieve(spark, d):
-    return records.best_of_entity(_hits(spark, d).withColumn("score", F.round("score", 9)), ["entry_id"], 0.15, 5).withColumn("score", F.round("score", 6))
+    best = products.best_groups(_asked(spark, d), _rows(spark, d), "entry_id", 5, 9).withColumn("score", F.round("score", 9))
+    return records.best_of_entity(best, ["entry_id"], 0.15, 5).withColumn("score", F.round("score", 6))
 
 
 @query(f"{WITH} SELECT o.object_global_id FROM obs o WHERE gx IS NOT NULL AND o.object_global_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM obs p WHERE p.object_global_id % 2 = 1 AND p.gx IS NOT NULL AND sqrt(power(o.gx - p.gx, 2) + power(o.gz - p.gz, 2)) < 0.5)")

@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from quarrylight.operators import products, search
 
 DATA = "/root/testdata/sf0.001"
-FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none"]
+FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none", "cosine_retrieve"]
 
 
 @pytest.mark.parametrize("name", FLAT)
