@@ -763,8 +763,8 @@ def projection_bounds(spark, d):
 
 @query(f"{WITH}, {HITS}, s AS (SELECT round_even(x, 3) AS x, round_even(z, 3) AS z, orientation, max(round(score, 9)) AS score FROM hits JOIN views ON id = entry_id GROUP BY ALL) SELECT x, z, arg_max(orientation, (score, -orientation)) AS best_orientation, round(max(score), 6) AS best, count(*) AS n FROM s GROUP BY x, z")
 def overlay_groups(spark, d):
-    hits = _hits(spark, d).withColumn("score", F.round("score", 9)).join(derived_views(spark, d).select(F.col("id").alias("entry_id"), "x", "z", "orientation"), "entry_id")
-    g = upkeep.overlay_groups(hits)
+    best = products.best_of_queries(_asked(spark, d), _rows(spark, d), "entry_id").withColumn("score", F.round("score", 9))
+    g = upkeep.overlay_groups(best.join(derived_views(spark, d).select(F.col("id").alias("entry_id"), "x", "z", "orientation"), "entry_id"))
     return g.select("x", "z", "best_orientation", _r("best"), F.size("scores").cast("long").alias("n"))
 
 
