@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
+from . import products
 
 #: A set of queries up to this size is sent to every task; larger ones meet the rows in blocks.
 BROADCAST_QUERIES = 2_000
@@ -35,7 +36,9 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str =
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, k: int) -> DataFrame:
-    return top(scores(queries, rows), ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+    """The ``k`` nearest rows of each query with their score and rank; rows have identifiers of their own."""
+    found = top(products.nearest_rows(queries, rows, id_col, k), ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+    return found.join(rows.drop("vec"), id_col) if set(rows.columns) - {id_col, "vec"} else found
 
 
 def fused(image: Column, text: Column, w_image: float = 0.5, w_text: float = 0.5) -> Column:

@@ -98,7 +98,7 @@ def frame_maxsim(spark, d):
 
 @query(f"{WITH}, {HITS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_global_id) AS k FROM hits) WHERE k <= 64), b AS (SELECT query_id, entry_id, greatest(max(score), 0) AS best FROM t GROUP BY ALL) SELECT v.id AS entry_id, round(coalesce(sum(best), 0) / (SELECT count(*) FROM asked), 6) AS score FROM views v LEFT JOIN b ON b.entry_id = v.id GROUP BY v.id")
 def frame_maxsim_pool(spark, d):
-    o = derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
+    o = _rows(spark, d)
     return search.pooled_similarity(_asked(spark, d), o, o.select("entry_id"), "object_global_id", 64).select("entry_id", _r("score"))
 
 
