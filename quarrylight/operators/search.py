@@ -72,8 +72,7 @@ def rank_entries(scored: DataFrame, views: DataFrame, top_k: int) -> DataFrame:
 
 def max_similarity(queries: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Mean over a frame's query vectors of the best similarity in each entry; entries without objects get 0."""
-    best = scores(queries, rows).groupBy("query_id", "entry_id").agg(F.max("score").alias("best"))
-    mean = best.groupBy("entry_id").agg(F.avg("best").alias("score"))
+    mean = products.mean_of_queries(queries, rows, "entry_id")
     return entries.select("entry_id").distinct().join(mean, "entry_id", "left").select("entry_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -92,7 +92,7 @@ def rank_position_dedup(spark, d):
 
 @query(f"{WITH}, {HITS} SELECT entry_id, round(avg(best), 6) AS score FROM (SELECT query_id, entry_id, max(score) AS best FROM hits GROUP BY ALL) GROUP BY entry_id")
 def frame_maxsim(spark, d):
-    o = derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
+    o = _rows(spark, d)
     return search.max_similarity(_asked(spark, d), o, o.select("entry_id")).select("entry_id", _r("score"))
 
 
