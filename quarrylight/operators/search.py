@@ -62,6 +62,17 @@ def best_match(hits: DataFrame, id_col: str) -> DataFrame:
     return hits.where("score > -1").groupBy("query_id", "entry_id").agg(pick.alias(id_col), F.max("score").alias("score"))
 
 
+def best_entries(queries: DataFrame, rows: DataFrame, views: DataFrame, top_k: int, digits: int) -> DataFrame:
+    """What ``rank_entries`` gives for all entries with a row: only entries that can be in it leave the tasks. One row a view."""
+    keys = {"_x": F.bround("x", 3), "_z": F.bround("z", 3)}
+    placed = views.select("id", "x", "z").withColumns(keys)
+    spots = placed.groupBy("_x", "_z").agg(F.min("id").alias("_spot"))
+    spotted = placed.alias("p").join(spots.alias("s"), F.col("p._x").eqNullSafe(F.col("s._x")) & F.col("p._z").eqNullSafe(F.col("s._z")))
+    there = rows.select("entry_id", "vec").join(spotted.select(F.col("id").alias("entry_id"), "_spot"), "entry_id")
+    scored = products.best_groups(queries, there, "entry_id", min(max(1, top_k), 5), digits, 0.0, "_spot")
+    return rank_entries(scored.withColumn("score", F.round("score", digits)), views, top_k)
+
+
 def rank_entries(scored: DataFrame, views: DataFrame, top_k: int) -> DataFrame:
     """Entries by score, one per position on a millimetre grid, five at most."""
     placed = scored.join(views.select(F.col("id").alias("entry_id"), "x", "z", "orientation"), "entry_id")

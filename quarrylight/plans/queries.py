@@ -85,9 +85,8 @@ SELECT query_id, entry_id, round(score, 6) AS score, x, z, orientation, rank FRO
 @query(f"{WITH}, {HITS}{RANKED}")
 def rank_position_dedup(spark, d):
     """The flagship: for each query object the five best views, one per position."""
-    hits = _hits(spark, d)
-    best = search.entry_scores(hits, hits.select("entry_id")).withColumn("score", F.round("score", 9))
-    return search.rank_entries(best, derived_views(spark, d), 10).select("query_id", "entry_id", _r("score"), "x", "z", "orientation", "rank")
+    best = search.best_entries(_asked(spark, d), _rows(spark, d), derived_views(spark, d), 10, 9)
+    return best.select("query_id", "entry_id", _r("score"), "x", "z", "orientation", "rank")
 
 
 @query(f"{WITH}, {HITS} SELECT entry_id, round(avg(best), 6) AS score FROM (SELECT query_id, entry_id, max(score) AS best FROM hits GROUP BY ALL) GROUP BY entry_id")
