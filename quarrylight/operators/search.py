@@ -12,6 +12,8 @@ from . import products
 #: A set of queries up to this size is sent to every task; larger ones meet the rows in blocks.
 BROADCAST_QUERIES = 2_000
 BLOCK = 2_000
+#: Rows are dealt to so many tasks for each block.
+DEALS = 64
 
 
 def meet(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -20,9 +22,10 @@ def meet(queries: DataFrame, rows: DataFrame) -> DataFrame:
     if n <= BROADCAST_QUERIES:
         return rows.crossJoin(F.broadcast(queries))
     blocks = -(-n // BLOCK)
-    placed = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks)))
-    dealt = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.join(placed, "_block").drop("_block")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    placed = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks))).withColumn("_deal", every(DEALS))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(DEALS))).withColumn("_block", every(blocks))
+    return dealt.join(placed, ["_block", "_deal"]).drop("_block", "_deal")
 
 
 def scores(queries: DataFrame, rows: DataFrame, query_vec: str = "query_vec", vec: str = "vec") -> DataFrame:
@@ -49,11 +52,13 @@ def fused(image: Column, text: Column, w_image: float = 0.5, w_text: float = 0.5
     return image * (w_image / total) + text * (w_text / total)
 
 
-def entry_scores(hits: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, entry_id, score): the best hit of each entry, at least 0; entries without a hit get 0."""
-    best = hits.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
-    every = meet(hits.select("query_id").distinct(), entries.select("entry_id").distinct())
-    return every.join(best, ["query_id", "entry_id"], "left").select("query_id", "entry_id", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
+def entry_scores(queries: DataFrame, rows: DataFrame, id_col: str, entries: DataFrame | None = None) -> DataFrame:
+    """(query_id, entry_id, score): the best hit of each entry, at least 0; entries without a row get 0."""
+    best = products.best_in_groups(queries, rows, "entry_id", id_col).select("query_id", "entry_id", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
+    if entries is None:
+        return best
+    empty = entries.select("entry_id").distinct().join(rows.select("entry_id").distinct(), "entry_id", "left_anti")
+    return best.unionByName(meet(queries.select(F.col("query_id").cast("long")), empty.select(F.col("entry_id").cast("long"))).select("query_id", "entry_id", F.lit(0.0).alias("score")))
 
 
 def best_match(hits: DataFrame, id_col: str) -> DataFrame:

@@ -67,8 +67,7 @@ def vector_fused_topk(spark, d):
 
 @query(f"{WITH}, {HITS} SELECT query_id, entry_id, round(greatest(max(score), 0), 6) AS score FROM hits GROUP BY ALL")
 def entry_max_score(spark, d):
-    hits = _hits(spark, d)
-    return search.entry_scores(hits, hits.select("entry_id")).select("query_id", "entry_id", _r("score"))
+    return search.entry_scores(_asked(spark, d), _rows(spark, d), "object_global_id").select("query_id", "entry_id", _r("score"))
 
 
 @query(f"{WITH}, {HITS} SELECT query_id, entry_id, object_global_id, score FROM (SELECT query_id, entry_id, object_global_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, entry_id ORDER BY round(score, 9) DESC, object_global_id) AS k FROM hits WHERE score > -1) WHERE k = 1")

@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from quarrylight.operators import products, search
 
 DATA = "/root/testdata/sf0.001"
-FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none", "cosine_retrieve", "overlay_groups", "frame_maxsim_pool", "frame_maxsim", "rank_position_dedup"]
+FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none", "cosine_retrieve", "overlay_groups", "frame_maxsim_pool", "frame_maxsim", "rank_position_dedup", "entry_max_score"]
 
 
 @pytest.mark.parametrize("name", FLAT)
@@ -91,3 +91,12 @@ def test_rounding_is_that_of_spark(spark):
     values = [0.5e-9, 1.5e-9, -2.5e-9, 0.1234567885, 0.1234567895, 1234.0000000005, -0.0, 3e12 + 0.123, 1e300, float("nan"), float("inf")]
     want = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9).alias("v")).collect()]
     np.testing.assert_array_equal(products.rounded(np.array(values), 9), np.array(want))
+
+
+def test_queries_that_meet_rows_in_blocks(odd, monkeypatch):
+    queries, rows, hits = odd
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1)
+    monkeypatch.setattr(search, "BLOCK", 10)
+    assert table(search.scores(queries, rows)) == table(hits)
+    empty = search.entry_scores(queries, rows, "id", rows.select((F.col("entry_id") + 15).alias("entry_id"))).where("entry_id > 19")
+    assert {r.score for r in empty.collect()} == {0.0}
