@@ -61,10 +61,9 @@ def entry_scores(queries: DataFrame, rows: DataFrame, id_col: str, entries: Data
     return best.unionByName(meet(queries.select(F.col("query_id").cast("long")), empty.select(F.col("entry_id").cast("long"))).select("query_id", "entry_id", F.lit(0.0).alias("score")))
 
 
-def best_match(hits: DataFrame, id_col: str) -> DataFrame:
-    """The hit with the highest score of each entry, the smallest id on ties."""
-    pick = F.max_by(F.col(id_col), F.struct(F.col("score"), -F.col(id_col)))
-    return hits.where("score > -1").groupBy("query_id", "entry_id").agg(pick.alias(id_col), F.max("score").alias("score"))
+def best_match(queries: DataFrame, rows: DataFrame, id_col: str, digits: int | None = None) -> DataFrame:
+    """(query_id, entry_id, id_col, score): each entry's hit with the highest rounded score, the smallest id on ties."""
+    return products.best_in_groups(queries, rows, "entry_id", id_col, digits).where("score > -1")
 
 
 def best_entries(queries: DataFrame, rows: DataFrame, views: DataFrame, top_k: int, digits: int) -> DataFrame:

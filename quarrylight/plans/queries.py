@@ -48,11 +48,6 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    o = derived_observations(spark, d).select("object_global_id", "entry_id", "vec")
-    return search.scores(_asked(spark, d), o)
-
-
 @query(f"{WITH}, {HITS} SELECT query_id, object_global_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, object_global_id) AS rank FROM hits) WHERE rank <= 5")
 def vector_topk(spark, d):
     hits = products.nearest_rows(_asked(spark, d), _rows(spark, d), "object_global_id", 5, 9)
@@ -72,8 +67,7 @@ def entry_max_score(spark, d):
 
 @query(f"{WITH}, {HITS} SELECT query_id, entry_id, object_global_id, score FROM (SELECT query_id, entry_id, object_global_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, entry_id ORDER BY round(score, 9) DESC, object_global_id) AS k FROM hits WHERE score > -1) WHERE k = 1")
 def entry_best_match(spark, d):
-    hits = _hits(spark, d).withColumn("score", F.round("score", 9))
-    return search.best_match(hits, "object_global_id").select("query_id", "entry_id", "object_global_id", _r("score"))
+    return search.best_match(_asked(spark, d), _rows(spark, d), "object_global_id", 9).select("query_id", "entry_id", "object_global_id", _r("score"))
 
 
 RANKED = """, e AS (SELECT query_id, entry_id, round(greatest(max(score), 0), 9) AS score FROM hits GROUP BY ALL),

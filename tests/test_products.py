@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from quarrylight.operators import products, search
 
 DATA = "/root/testdata/sf0.001"
-FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none", "cosine_retrieve", "overlay_groups", "frame_maxsim_pool", "frame_maxsim", "rank_position_dedup", "entry_max_score"]
+FLAT = ["vector_topk", "vector_fused_topk", "retrieve_or_none", "cosine_retrieve", "overlay_groups", "frame_maxsim_pool", "frame_maxsim", "rank_position_dedup", "entry_max_score", "entry_best_match"]
 
 
 @pytest.mark.parametrize("name", FLAT)
