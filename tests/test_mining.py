@@ -13,7 +13,9 @@ def same_as_sql(spark, name, folder):
     base.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
     df = contract.queries()[name](spark, str(folder))
     columns = sorted(df.columns)
-    want = base.execute(contract.oracle_sql()[name]).fetch_arrow_table().select(columns).to_pylist()
+    found = base.execute(contract.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    want = [dict(zip(names, row, strict=True)) for row in found.fetchall()]
     key = lambda r: repr([r[c] for c in columns])
     assert sorted(df.select(*columns).toArrow().to_pylist(), key=key) == sorted(want, key=key)
 
