@@ -95,4 +95,5 @@ def test_pairs_against_all_pairs(spark, kind, n):
 def test_labels_alone_join_no_pairs(spark):
     data = "/root/testdata/sf0.001"
     joins = lambda name: [line for line in contract.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins("tricky_pairs") == []
     assert joins("mine_pairs") and all("place_id" in line for line in joins("mine_pairs"))
